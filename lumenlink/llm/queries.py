@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenlink.llm.dsir import importance_resampling
+from lumenlink.llm.mixing import MIX_SQL, mix_sources
 from lumenlink.llm.near import near_duplicates
+from lumenlink.llm.rules import decision_list
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_minhash_inverted_join,)}
+    return {f.__name__: f for f in (op2_decision_list, op5_water_filling, op7_importance_resampling, op9_minhash_inverted_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_water_filling": MIX_SQL}
