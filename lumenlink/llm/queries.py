@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenlink.llm.decontaminate import contaminated
 from lumenlink.llm.dsir import importance_resampling
 from lumenlink.llm.mixing import MIX_SQL, mix_sources
 from lumenlink.llm.near import near_duplicates
@@ -24,6 +25,10 @@ def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -33,7 +38,7 @@ def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decision_list, op5_water_filling, op7_importance_resampling, op9_minhash_inverted_join)}
+    return {f.__name__: f for f in (op2_decision_list, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op9_minhash_inverted_join)}
 
 
 def oracle_sql() -> dict[str, str]:
