@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,47 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b) and the least node that each can reach."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[a], low[b])
+        np.minimum.at(new, low[b], low[a])
+        while not np.array_equal(jump := new[new], new):
+            new = jump
+        new = new[low]
+        if np.array_equal(new, low):
+            return nodes, nodes[low]
+        low = new
+
+
+def _contract(batches):
+    """The edges of a task -> (node, least node reachable over them)."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        nodes, low = union(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["a", "b"])
+
+
+#: Edges that one task contracts at most on average.
+TASK_EDGES = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs -> (node, comp) for every node of an edge; comp is the least node reachable.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder, and
-    only one row of counts reaches the driver.
+    Tasks first contract their own shares of the edges, of a bounded size; that is all if one task
+    holds them.  Otherwise alternating large-star and small-star steps follow, each round written to
+    the shared folder; only one row of counts reaches the driver.
     """
-    e = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    e = keep(edges.select("a", "b").where("a <> b"), "edges")
+    parts = -(-e.count() // TASK_EDGES)
+    if parts <= 1:
+        return e.repartition(1).mapInArrow(_contract, "node long, comp long")
+    e = keep(e.repartition(parts).mapInArrow(_contract, "a long, b long").where("a <> b"), "contracted")
     before = None
     while True:
         e = keep(_star(_star(e, True), False), "stars")

@@ -8,11 +8,13 @@ candidate is confirmed on the full shingle sets.  A pair at Jaccard 0.8 shares n
 posted coordinates with probability 0.2 ** 12 < 5e-9 and agrees in fewer than 80 of 128
 coordinates with probability below 2e-6.
 
-Documents with equal sets are one class from the start.  Long posting lists are cut into
-blocks of at most about ``BLOCK`` documents: in each round a document proposes its best match
-of another component in its block, blocks are dealt anew, and components grow as in Boruvka's
-algorithm.  When a round links nothing, all pairs of blocks of the lists that still hold more
-than one component are compared, so no link is lost to the blocks.
+Documents with equal sets are one class from the start.  Posting lists of up to ``SMALL`` classes
+are compared pair by pair.  Longer ones are dealt, anew for each list, into blocks of about
+``BLOCK``, and a block proposes only a spanning forest of its best matches, so a group of g near
+copies makes g proposals and not g * g.  What the blocks and forests have passed over is settled
+exactly: pairs of blocks of the long lists are compared on signatures until candidates that share
+a list are in one cluster, and in each cluster whose members are not yet linked all pairs of
+blocks are confirmed side by side, without a row for each pair.
 """
 
 from __future__ import annotations
@@ -126,59 +128,58 @@ def _matching(sig, n, comp, i, j, num, den) -> np.ndarray:
     return out
 
 
-def _best(sig, n, comp, num, den) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's best match of another component in the block, and its matches with the row that most agree with."""
-    count = np.zeros((len(sig), len(sig)), dtype=np.int16)
-    for a in range(0, len(sig), 32):
+def _forest(sig, n, comp, num, den) -> tuple[np.ndarray, np.ndarray]:
+    """The edges between components of a spanning forest of a block with the most matches (Prim's algorithm)."""
+    g = len(sig)
+    count = np.zeros((g, g), dtype=np.int16)
+    for a in range(0, g, 32):
         count[a : a + 32] = (sig[a : a + 32, None, :] == sig[None, :, :]).sum(2)
-    bad = (comp[:, None] == comp[None, :]) | (den * np.minimum.outer(n, n) < num * np.maximum.outer(n, n)) | (count < MATCHES)
-    count[bad] = -1
-    best = count.argmax(1)
-    hub = int((count >= 0).sum(1).argmax())
-    i = np.concatenate([np.arange(len(sig)), np.arange(len(sig))])
-    j = np.concatenate([best, np.full(len(sig), hub)])
-    ok = count[i, j] >= 0
-    return i[ok], j[ok]
-
-
-def _candidates(num: int, den: int, exhaustive: bool) -> Callable:
-    """Rows (key, x, y, node, n, comp, block, sig) sorted by key, x, y -> candidate pairs of nodes.
-
-    Not exhaustive: all matching pairs of groups up to SMALL rows, best matches in longer ones.
-    Exhaustive: a group is a pair of blocks (x, y); all matching pairs of a row of x and one of y.
+    count[(den * np.minimum.outer(n, n) < num * np.maximum.outer(n, n)) | (count < MATCHES)] = -1
+    count[comp[:, None] == comp[None, :]] = COORDS + 1
+    near, by = np.full(g, -2), np.zeros(g, dtype=np.int64)
+    out = np.zeros(g, dtype=bool)
+    tree = []
+    for _ in range(g):
+        k = int(np.where(out, -3, near).argmax())
+        out[k] = True
+        if 0 <= near[k] <= COORDS:
+            tree.append((by[k], k))
+        closer = count[k] > near
+        near, by = np.where(closer, count[k], near), np.where(closer, k, by)
+    i, j = np.array(tree, dtype=np.int64).reshape(-1, 2).T
+    return i, j
+
+
+def _starts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and sizes of the runs of equal keys."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(keys[0])))
+
+
+def _candidates(num: int, den: int, small: int) -> Callable:
+    """Rows (key, x, y, node, n, comp, sig) sorted by key, x, y -> candidate pairs of nodes.
+
+    All matching pairs of groups up to ``small`` rows, a spanning forest between components in larger ones.
     """
 
     def run(batches):
         for table in _complete_groups(batches, 3):
-            key, x, y, node, n, comp, block = (table.column(c).to_numpy() for c in ("key", "x", "y", "node", "n", "comp", "block"))
+            key, x, y, node, n, comp = (table.column(c).to_numpy() for c in ("key", "x", "y", "node", "n", "comp"))
             sig = _sig_matrix(table)
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(key)))
+            start, size = _starts(key, x, y)
             pairs = []
-            if exhaustive:
-                for s, g in zip(start[size > 1], size[size > 1], strict=True):
-                    left, right = np.flatnonzero(block[s : s + g] == x[s]) + s, np.flatnonzero(block[s : s + g] == y[s]) + s
-                    for a in range(0, len(left), 64):
-                        i, j = np.repeat(left[a : a + 64], len(right)), np.tile(right, len(left[a : a + 64]))
-                        if x[s] == y[s]:
-                            i, j = i[i < j], j[i < j]
-                        ok = _matching(sig, n, comp, i, j, num, den)
-                        pairs.append((i[ok], j[ok]))
-            else:
-                for g in range(2, SMALL + 1):
-                    s = start[size == g]
-                    if len(s):
-                        a, b = np.triu_indices(g, 1)
-                        i, j = (s[:, None] + a).ravel(), (s[:, None] + b).ravel()
-                        ok = _matching(sig, n, comp, i, j, num, den)
-                        pairs.append((i[ok], j[ok]))
-                for s, g in zip(start[size > SMALL], size[size > SMALL], strict=True):
-                    for a in range(s, s + g, 2 * BLOCK):  # a block that drew far more rows than its share
-                        b = min(s + g, a + 2 * BLOCK)
-                        i, j = _best(sig[a:b], n[a:b], comp[a:b], num, den)
-                        pairs.append((i + a, j + a))
+            for g in range(2, small + 1):
+                s = start[size == g]
+                if len(s):
+                    a, b = np.triu_indices(g, 1)
+                    i, j = (s[:, None] + a).ravel(), (s[:, None] + b).ravel()
+                    ok = _matching(sig, n, comp, i, j, num, den)
+                    pairs.append((i[ok], j[ok]))
+            for s, g in zip(start[size > small], size[size > small], strict=True):
+                i, j = _forest(sig[s : s + g], n[s : s + g], comp[s : s + g], num, den)
+                pairs.append((i + s, j + s))
             if pairs:
                 i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
                 a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
@@ -188,6 +189,55 @@ def _candidates(num: int, den: int, exhaustive: bool) -> Callable:
     return run
 
 
+def _settle(num: int, den: int) -> Callable:
+    """Rows (key, x, y, node, n, comp, block, sig, members) sorted by key, x, y -> links.
+
+    Of each pair of blocks (x, y) every pair of a row of x and one of y is confirmed, but those that
+    the block has joined by then.
+    """
+
+    def run(batches):
+        for table in _complete_groups(batches, 3):
+            key, x, y, node, n, comp, block = (table.column(c).to_numpy() for c in ("key", "x", "y", "node", "n", "comp", "block"))
+            sig = _sig_matrix(table)
+            members = table.column("members")
+            for s, g in zip(*_starts(key, x, y), strict=True):
+                left, right = np.flatnonzero(block[s : s + g] == x[s]) + s, np.flatnonzero(block[s : s + g] == y[s]) + s
+                sets = {int(k): np.frombuffer(members[int(k)].as_buffer(), dtype=np.uint64) for k in range(s, s + g)}
+                joined = {int(c): int(c) for c in comp[s : s + g]}
+
+                def root(c, joined=joined):
+                    while joined[c] != c:
+                        joined[c] = c = joined[joined[c]]
+                    return c
+
+                links = []
+                for k in left:
+                    others = right[right > k] if x[s] == y[s] else right
+                    ok = _matching(sig, n, comp, np.full(len(others), k), others, num, den)
+                    for m in others[ok]:
+                        p, q = root(int(comp[k])), root(int(comp[m]))
+                        if p != q and _similar(sets[int(k)], sets[int(m)], num, den):
+                            joined[max(p, q)] = min(p, q)
+                            links.append((node[k], node[m]))
+                if links:
+                    a, b = np.array(links, dtype=np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _similar(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
+    """Do two ascending sets reach the Jaccard similarity num / den?"""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p) or den * len(p) < num * len(q):
+        return False
+    at = np.searchsorted(q, p)
+    both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return den * both >= num * (len(p) + len(q) - both)
+
+
 def _confirm(num: int, den: int) -> Callable:
     """Rows (a, b, set of a, set of b) -> (a, b, linked)."""
 
@@ -198,12 +248,7 @@ def _confirm(num: int, den: int) -> Callable:
             linked = np.zeros(batch.num_rows, dtype=bool)
             for r in range(batch.num_rows):
                 p, q = left[lo[r] : lo[r + 1]].tobytes(), right[ro[r] : ro[r + 1]].tobytes()
-                p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                linked[r] = den * both >= num * (len(p) + len(q) - both)
+                linked[r] = _similar(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64), num, den)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
     return run
@@ -232,50 +277,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = keep(long, "long")
     members = keep(some.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node", "n").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "members")
 
-    def compared(posts: DataFrame, exhaustive: bool) -> DataFrame:
+    def compared(posts: DataFrame, small: int) -> DataFrame:
         dealt = posts.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-        return dealt.select("key", "x", "y", "node", "n", "comp", "block", "sig").mapInArrow(_candidates(num, den, exhaustive), PAIR).distinct()
-
-    sized = lists.join(long, "key", "left")
-    salted = sized.select("key", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-
-    def dealt(posts: DataFrame, turn: int) -> DataFrame:
-        return posts.withColumn("block", F.expr(f"cast(pmod(xxhash64(node, {turn}L), blocks) as int)")).withColumn("x", F.col("block")).withColumn("y", F.col("block"))
-
-    first = dealt(salted, 0).join(members.drop("id"), "node").withColumn("comp", F.col("node"))
-    pairs = keep(compared(first, False), "pairs")
-    in_long = lists.join(long, "key", "left_semi").select("node")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(in_long).distinct()
-    wanted = members.join(wanted, "node", "left_semi").select("node", "id")
-    texts = rows.join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
-    sets = keep(texts.mapInArrow(_node_sets(shingle, lower), "node long, members binary").dropDuplicates(["node"]), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-        return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), f"{PAIR}, linked boolean"), "tested")
-
-    tested = confirmed(pairs)
-    labels = keep(components(tested.where("linked").select("a", "b")), "labels")
-    hot = sized.where("blocks is not null").select("key", "node", "blocks")
-    turn, exhaustive = 0, False
-    while not long.isEmpty():
-        turn += 1
-        named = hot.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return dealt.select("key", "x", "y", "node", "n", "comp", "sig").mapInArrow(_candidates(num, den, small), PAIR).distinct()
+
+    def paired(posts: DataFrame) -> DataFrame:
+        """Each row once for every pair of its block and a block of its list."""
+        z = posts.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return z.withColumn("x", F.least("block", "z")).withColumn("y", F.greatest("block", "z")).drop("z")
+
+    block = F.expr("cast(pmod(xxhash64(node, key), blocks) as int)")
+    hot = keep(lists.join(long, "key").withColumn("block", block), "hot")
+    brief = lists.join(long, "key", "left_anti").withColumn("block", F.lit(0))
+    first = brief.unionByName(hot.drop("blocks")).withColumn("x", F.col("block")).withColumn("y", F.col("block"))
+    pairs = keep(compared(first.join(members.drop("id"), "node").withColumn("comp", F.col("node")), SMALL), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    hot_lists = not long.isEmpty()
+    if hot_lists:
+        # Clusters of candidates, over the long lists only: no candidates of one list may be in two.
+        clusters = keep(components(pairs), "clusters")
+        named = keep(hot.join(clusters, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_lists = dealt(named.join(mixed, "key", "left_semi"), turn)
-        if exhaustive:
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            open_lists = open_lists.withColumn("z", other).withColumn("x", F.least("block", "z")).withColumn("y", F.greatest("block", "z")).drop("z")
-        pairs = compared(open_lists.join(members.drop("id"), "node"), exhaustive).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = confirmed(keep(pairs, "pairs"))
-        links = more.where("linked").select("a", "b")
-        tested = keep(tested.unionByName(more), "tested")
-        found = not links.isEmpty()
-        if found:
-            labels = keep(components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links)), "labels")
-        if exhaustive:
-            break
-        exhaustive = not found or turn >= 8
+        bridges = keep(compared(paired(named.join(mixed, "key", "left_semi")).join(members.drop("id"), "node"), 1), "bridges")
+        wanted = wanted.union(bridges.select("a")).union(bridges.select("b"))
+        clusters = components(clusters.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(bridges)).withColumnRenamed("comp", "key")
+    wanted = members.join(wanted.distinct(), "node", "left_semi").select("node", F.col("id").alias("wanted_id"))
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
+    sets = keep(texts.mapInArrow(_node_sets(shingle, lower), "node long, members binary"), "sets")
+    left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
+    tested = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), f"{PAIR}, linked boolean")
+    links = keep(tested.where("linked").select("a", "b"), "links")
+    labels = keep(components(links), "labels")
+    if hot_lists:
+        # Clusters whose members are not yet in one component.
+        inside = hot.select("node").distinct().join(clusters, "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        inside = keep(inside, "inside")
+        open_ = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo < hi")
+        dealt = paired(inside.join(open_.select("key", "blocks"), "key").withColumn("block", block)).join(members.drop("id"), "node").join(sets, "node")
+        dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "node", "n", "comp", "block", "sig", "members")
+        more = dealt.mapInArrow(_settle(num, den), PAIR)
+        labels = keep(components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "labels")
     ids = some.groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = ids.select("node", "comp").join(least, "comp").select("node", "component_id")
