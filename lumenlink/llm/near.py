@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlink.llm import kernels as K
@@ -32,7 +33,7 @@ from lumenlink.llm.store import keep
 
 COORDS, PREFIX, MATCHES = 128, 12, 80
 #: Lists up to SMALL are compared pair by pair; longer ones in blocks.
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK = 32, 1024
 _MULT = np.random.default_rng(7).integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(8).integers(1, 2**63, COORDS, dtype=np.uint64)
 
@@ -323,3 +324,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("id", "n", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows and columns of ``docs`` that ``near_duplicates`` keeps: one of each component.
+
+    Of rows that share an id one is kept, the least by a hash of the text.  A row without an id is
+    kept unless its component has an id.
+    """
+    found = near_duplicates(docs, id_col, text_col, **how)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    names = found.where("kept").select(key.alias("kept_id")).distinct()
+    out = docs.join(names, key == F.col("kept_id"), "left_semi")
+    ids = found.agg(F.count(F.lit(1)), F.count_distinct(id_col), F.count(id_col)).first()
+    if ids[1] < ids[2]:
+        turn = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text_col)))
+        out = out.withColumn("lumenlink_turn", F.when(F.col(id_col).isNull(), 1).otherwise(turn)).where("lumenlink_turn = 1")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
