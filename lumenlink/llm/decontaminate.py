@@ -235,22 +235,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the documents for each block, so what is sent at once has a bound.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null").orderBy("item_id", "text")
-    out, block = None, []
+    out = None
+    for items in item_blocks(benchmark, item_col, item_text, similarity, min_words, seed):
+        held = rows.sparkSession.sparkContext.broadcast(items)
+        found = rows.mapInArrow(lambda batches, held=held: _scan(held.value)(batches), SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return (rows.mapInArrow(_nothing, SCHEMA) if out is None else out).withColumnRenamed("id", id_col)
 
-    def passed(block: list) -> DataFrame:
-        held = rows.sparkSession.sparkContext.broadcast(Items([i for i, _ in block], [h for _, h in block], similarity, seed))
-        return rows.mapInArrow(lambda batches: _scan(held.value)(batches), SCHEMA)
 
-    for r in items.toLocalIterator():
+def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, similarity: float, min_words: int, seed: int) -> Iterator[Items]:
+    """The benchmark in blocks of at most BLOCK_ITEMS items, read one partition at a time."""
+    block: list[tuple[int, np.ndarray]] = []
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
         text = np.frombuffer(r.text.encode(), dtype=np.uint8)
         h = K.Words(text, np.array([0, len(text)]), lower=True).hashes()
         if len(h) >= min_words:
             block.append((-1 if r.item_id is None else r.item_id, h))
         if len(block) == BLOCK_ITEMS:
-            found = passed(block)
-            out, block = found if out is None else out.unionByName(found), []
-    if block or out is None:
-        found = passed(block) if block else rows.mapInArrow(_nothing, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id", id_col)
+            yield Items([i for i, _ in block], [h for _, h in block], similarity, seed)
+            block = []
+    if block:
+        yield Items([i for i, _ in block], [h for _, h in block], similarity, seed)
+
+
+def _clean(items: Items, text_at: int) -> Callable:
+    """The rows in whose text no item is found, all columns as they are."""
+
+    def run(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for i, _, buf, offs in K.blocks(batch.column(text_at)):
+                w = K.Words(buf, offs, lower=True)
+                for d, *_ in items.find(w.hashes(), w.doc, w.offs):
+                    clean[i + d] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8, min_words: int = 5, seed: int = 11) -> DataFrame:
+    """The rows and columns of ``docs`` in whose text ``contaminated`` finds no item."""
+    out, text_at = docs, docs.columns.index(text_col)
+    for items in item_blocks(benchmark, item_col, item_text, similarity, min_words, seed):
+        held = docs.sparkSession.sparkContext.broadcast(items)
+        out = out.mapInArrow(lambda batches, held=held: _clean(held.value, text_at)(batches), docs.schema)
+    return out

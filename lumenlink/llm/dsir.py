@@ -61,18 +61,43 @@ def _count(target: np.ndarray) -> Callable:
     return run
 
 
+def _scores(ids: pa.Array, texts: pa.Array, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams, log weight and Gumbel key of each row."""
+    parts = []
+    for i, j, buf, offs in K.blocks(texts):
+        bucket, doc = _buckets(buf, offs)
+        n = np.bincount(doc, minlength=j - i)
+        weight = np.bincount(doc, weights=ratio[bucket], minlength=j - i)
+        own = ids.slice(i, j - i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        body = K.Rolling(buf).of(offs[:-1], offs[1:])
+        u = (K.mix(K.mix(own + np.uint64(seed)) ^ body) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        parts.append((n, weight, weight - np.log(-np.log(u))))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """Keys as longs in steps of 2**-20, which keep their order."""
+    return np.floor(key * (1 << 20)).astype(np.int64)
+
+
 def _weigh(ratio: np.ndarray, seed: int) -> Callable:
     def run(batches):
         for batch in batches:
-            for i, j, buf, offs in K.blocks(batch.column(1)):
-                bucket, doc = _buckets(buf, offs)
-                n = np.bincount(doc, minlength=j - i)
-                weight = np.bincount(doc, weights=ratio[bucket], minlength=j - i)
-                ids = batch.column(0).slice(i, j - i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                body = K.Rolling(buf).of(offs[:-1], offs[1:])
-                u = (K.mix(K.mix(ids + np.uint64(seed)) ^ body) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-                key = weight - np.log(-np.log(u))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(weight), pa.array(key, mask=n == 0)], names=["id", "n", "log_weight", "gumbel_key"])
+            if batch.num_rows:
+                n, weight, key = _scores(batch.column(0), batch.column(1), ratio, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weight), pa.array(key, mask=n == 0), pa.array(_order(key), mask=n == 0)], names=["id", "n", "log_weight", "gumbel_key", "step"])
+
+    return run
+
+
+def _filter(ratio: np.ndarray, seed: int, cut: int, id_at: int, text_at: int) -> Callable:
+    """The rows whose key reaches the cut, all columns as they are."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n, _, key = _scores(batch.column(id_at).cast(pa.int64()), batch.column(text_at), ratio, seed)
+                yield batch.filter(pa.array((n > 0) & (_order(key) >= cut)))
 
     return run
 
@@ -100,16 +125,13 @@ def kth_largest(df: DataFrame, key: str, k: int, bits: int = 16) -> int | None:
     return prefix
 
 
-def importance_resampling(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", seed: int = 20, retained: float = RETAINED) -> DataFrame:
-    """One row per row of ``docs``: id, n_grams, log_weight, gumbel_key, kept.
+LEAST = -(1 << 63)
 
-    kept marks the k documents with the largest Gumbel keys, where k counts the documents whose
-    weight is at least that which all but ``1 - retained`` of the labelled good ones reach.
-    Documents without a word (null and empty texts too) have no key and are not kept.  Rows with
-    equal keys are kept or dropped together.  Without labelled good documents every document
-    with a word is kept.  Only the id, the text and the labels' columns are read.
-    """
+
+def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, good: str, seed: int, retained: float) -> tuple[DataFrame, object, int]:
+    """The weighed rows, the broadcast model, and the step that the keys of the sample reach."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = rows.sparkSession
     chosen = labels.where(good).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     sample = np.array([r[0] for r in chosen.orderBy(F.xxhash64("id"), "id").limit(MAX_TARGET).collect()], dtype=np.int64)
     target, unseen = np.sort(sample[::2]), np.sort(sample[1::2])
@@ -120,16 +142,37 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id_col: str = "doc
         hit[bucket] += t
     share = raw / raw.sum()
     ratio = np.log((hit + SHRINK * BUCKETS * share) / (hit.sum() + SHRINK * BUCKETS)) - np.log(share)
-    table = rows.sparkSession.sparkContext.broadcast(ratio)
-    weighed = keep(rows.mapInArrow(lambda batches: _weigh(table.value, seed)(batches), "id long, n long, log_weight double, gumbel_key double"), "weighed")
+    table = spark.sparkContext.broadcast(ratio)
+    weighed = keep(rows.mapInArrow(lambda batches: _weigh(table.value, seed)(batches), "id long, n long, log_weight double, gumbel_key double, step long"), "weighed")
     some = weighed.where("n > 0")
-    known = some.join(F.broadcast(rows.sparkSession.createDataFrame([(int(x),) for x in unseen], "id long")), "id", "left_semi")
+    # The ids are at most MAX_TARGET / 2 longs.
+    known = some.join(F.broadcast(spark.createDataFrame([(int(x),) for x in unseen], "id long")), "id", "left_semi")
     floor = known.select(F.expr(f"percentile(log_weight, {1 - retained})")).first()[0]
     if floor is None:
-        return weighed.select(F.col("id").alias(id_col), F.col("n").alias("n_grams"), "log_weight", "gumbel_key", (F.col("n") > 0).alias("kept"))
-    k = some.where(F.col("log_weight") >= floor).count()
-    # Doubles in steps of 2**-20 keep their order as longs.
-    ordered = F.floor(F.col("gumbel_key") * float(1 << 20)).cast("long")
-    cut = kth_largest(some.select(ordered.alias("key")), "key", k)
-    kept = F.coalesce(ordered >= F.lit(cut), F.lit(False)) if cut is not None else F.lit(False)
+        return weighed, table, LEAST
+    cut = kth_largest(some, "step", some.where(F.col("log_weight") >= floor).count())
+    return weighed, table, LEAST if cut is None else cut
+
+
+GOOD = "quality = 1"
+
+
+def importance_resampling(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = GOOD, seed: int = 20, retained: float = RETAINED) -> DataFrame:
+    """One row per row of ``docs``: id, n_grams, log_weight, gumbel_key, kept.
+
+    kept marks the k documents with the largest Gumbel keys, where k counts the documents whose
+    weight is at least that which all but ``1 - retained`` of the labelled good ones reach.
+    Documents without a word (null and empty texts too) have no key and are not kept.  Rows with
+    equal keys are kept or dropped together.  Without labelled good documents every document
+    with a word is kept.  Only the id, the text and the labels' columns are read.
+    """
+    weighed, _, cut = fit_sample(docs, labels, id_col, text_col, good, seed, retained)
+    kept = F.coalesce(F.col("step") >= F.lit(cut), F.lit(False))
     return weighed.select(F.col("id").alias(id_col), F.col("n").alias("n_grams"), "log_weight", "gumbel_key", kept.alias("kept"))
+
+
+def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = GOOD, seed: int = 20, retained: float = RETAINED) -> DataFrame:
+    """The rows and columns of ``docs`` that ``importance_resampling`` keeps; the last pass only filters, without a join."""
+    _, table, cut = fit_sample(docs, labels, id_col, text_col, good, seed, retained)
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    return docs.mapInArrow(lambda batches: _filter(table.value, seed, cut, id_at, text_at)(batches), docs.schema)

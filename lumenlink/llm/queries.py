@@ -10,6 +10,7 @@ from lumenlink.llm.decontaminate import contaminated
 from lumenlink.llm.dsir import importance_resampling
 from lumenlink.llm.mixing import MIX_SQL, mix_sources
 from lumenlink.llm.near import near_duplicates
+from lumenlink.llm.pii import pseudonymise
 from lumenlink.llm.rules import decision_list
 
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -38,7 +43,7 @@ def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decision_list, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op9_minhash_inverted_join)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_decision_list, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op9_minhash_inverted_join)}
 
 
 def oracle_sql() -> dict[str, str]:
