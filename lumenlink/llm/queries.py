@@ -12,6 +12,8 @@ from lumenlink.llm.mixing import MIX_SQL, mix_sources
 from lumenlink.llm.near import near_duplicates
 from lumenlink.llm.pii import pseudonymise
 from lumenlink.llm.rules import decision_list
+from lumenlink.llm.urls import URL_SQL, page_captures, page_entries, temporal_filter
+from lumenlink.llm.warc import WARC_SQL, round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,11 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return temporal_filter(page_captures(pages), page_entries(pages))
+
+
 def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -38,13 +45,17 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_decision_list, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op9_minhash_inverted_join)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_decision_list, op3_temporal_url_list, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op8_warc_index, op9_minhash_inverted_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_water_filling": MIX_SQL}
+    return {"op3_temporal_url_list": URL_SQL, "op5_water_filling": MIX_SQL, "op8_warc_index": WARC_SQL}
