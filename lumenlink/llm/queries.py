@@ -12,6 +12,7 @@ from lumenlink.llm.mixing import MIX_SQL, mix_sources
 from lumenlink.llm.near import near_duplicates
 from lumenlink.llm.pii import pseudonymise
 from lumenlink.llm.rules import decision_list
+from lumenlink.llm.suffix import cut_repeats
 from lumenlink.llm.urls import URL_SQL, page_captures, page_entries, temporal_filter
 from lumenlink.llm.warc import WARC_SQL, round_trip
 
@@ -33,6 +34,10 @@ def op3_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal_filter(page_captures(pages), page_entries(pages))
 
 
+def op4_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_decision_list, op3_temporal_url_list, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op8_warc_index, op9_minhash_inverted_join)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_decision_list, op3_temporal_url_list, op4_columnwise_suffix_dedup, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op8_warc_index, op9_minhash_inverted_join)}
 
 
 def oracle_sql() -> dict[str, str]:
