@@ -10,6 +10,7 @@ from lumenlink.llm.decontaminate import contaminated
 from lumenlink.llm.dsir import importance_resampling
 from lumenlink.llm.mixing import MIX_SQL, mix_sources
 from lumenlink.llm.near import near_duplicates
+from lumenlink.llm.passages import near_passages
 from lumenlink.llm.pii import pseudonymise
 from lumenlink.llm.rules import decision_list
 from lumenlink.llm.suffix import cut_repeats
@@ -58,8 +59,12 @@ def op9_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_decision_list, op3_temporal_url_list, op4_columnwise_suffix_dedup, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op8_warc_index, op9_minhash_inverted_join)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_decision_list, op3_temporal_url_list, op4_columnwise_suffix_dedup, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op8_warc_index, op9_minhash_inverted_join, op10_compact_windows)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,6 @@ covering; ``verdict`` turns the ordered list into one Spark conditional expressi
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -219,5 +218,3 @@ def decision_list(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     failed = base_failed()
     return stats.select(F.col("id").alias(id_col), *COUNTS, failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(verdict(rules)).alias("kept"))
 
-
-Learner = Callable[[dict[str, np.ndarray], np.ndarray], list[Rule]]
