@@ -34,6 +34,8 @@ BLOCK_ITEMS = 20_000
 #: Longest run of words by which windows are proposed.
 RUN = 4
 WALK, REPEATS, SAMPLED = 3, 32, 6
+#: Windows embedded at once.
+ROWS = 2048
 U = np.uint64
 
 
@@ -47,32 +49,41 @@ def run_length(n: int, similarity: float) -> int:
     return max(1, min(RUN, -(-(n - e) // (e + 1))))
 
 
-def cgk(h: np.ndarray, seed: int) -> np.ndarray:
-    """The embeddings, WALK * n long, of rows of n word hashes; past its end a walk emits 0."""
-    rows, n = h.shape
-    at, out = np.zeros(rows, dtype=np.int64), np.zeros((rows, WALK * n), dtype=np.uint64)
-    padded = np.concatenate([h, np.zeros((rows, 1), dtype=np.uint64)], axis=1)
-    line = np.arange(rows)
-    for step in range(WALK * n):
+def cgk(h: np.ndarray, n: np.ndarray, seed: int, walks: int) -> np.ndarray:
+    """The embeddings (rows, walks, WALK * width) of the first n words of rows of word hashes; past its end a walk emits 0.
+
+    64 of the shared bits of (walk, word) come from one hash, a bit for each step.
+    """
+    rows, width = h.shape
+    steps = WALK * width
+    padded = np.zeros((rows, width + 1), dtype=np.uint64)
+    padded[:, :width] = np.where(np.arange(width) < n[:, None], h, U(0))
+    out = np.zeros((rows * walks, steps), dtype=np.uint64)
+    line, walk = np.repeat(np.arange(rows), walks), np.tile(np.arange(walks, dtype=np.uint64), rows)
+    last, at = n[line], np.zeros(rows * walks, dtype=np.int64)
+    salt = K.mix(np.arange(walks * -(-steps // 64), dtype=np.uint64) + U(seed + 1)).reshape(walks, -1)[walk.astype(np.int64)]
+    for step in range(steps):
         word = padded[line, at]
         out[:, step] = word
-        bit = K.mix(word + U(seed) + U(step * 0x9E3779B97F4A7C15 % 2**64)) >> U(63)
-        at = np.minimum(at + bit.astype(np.int64), n)
-    return out
+        bit = (K.mix(word ^ salt[:, step >> 6]) >> U(step & 63)) & U(1)
+        at = np.minimum(at + bit.astype(np.int64), last)
+    return out.reshape(rows, walks, steps)
+
 
+#: Repeats that share a walk.
+SHARED = 4
 
-def lsh_keys(h: np.ndarray, seed: int) -> np.ndarray:
-    """REPEATS keys for each row: hashes of SAMPLED positions of its embedding.  Each pair of repeats has a walk of its own."""
-    rows, n = h.shape
-    keys = np.zeros((rows, REPEATS), dtype=np.uint64)
-    for walk in range(REPEATS // 4):
-        e = cgk(h, seed + 7919 * walk)
-        for r in range(4 * walk, 4 * walk + 4):
-            where = np.random.default_rng([seed, r, n]).integers(0, WALK * n, SAMPLED)
-            k = np.full(rows, r + 1, dtype=np.uint64)
-            for p in where:
-                k = K.mix(k * U(0xD1342543DE82EF95) + e[:, p])
-            keys[:, r] = k
+
+def lsh_keys(h: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """REPEATS keys for each row: hashes of its length and of SAMPLED positions of its embedding."""
+    rows = len(h)
+    e = cgk(h, n, seed, REPEATS // SHARED)
+    lengths, of = np.unique(n, return_inverse=True)
+    where = np.stack([np.random.default_rng([seed, int(m)]).integers(0, WALK * int(m), (REPEATS, SAMPLED)) for m in lengths])[of] if rows else np.zeros((0, REPEATS, SAMPLED), dtype=np.int64)
+    keys = K.mix(n.astype(np.uint64)[:, None] * U(1 << 32) + np.arange(1, REPEATS + 1, dtype=np.uint64))
+    line, walk = np.arange(rows)[:, None], (np.arange(REPEATS) // SHARED)[None, :]
+    for k in range(SAMPLED):
+        keys = K.mix(keys * U(0xD1342543DE82EF95) + e[line, walk, where[:, :, k]])
     return keys
 
 
@@ -97,14 +108,12 @@ class Items:
     def __init__(self, ids: list[int], words: list[np.ndarray], similarity: float, seed: int):
         self.ids, self.words, self.similarity, self.seed = ids, words, similarity, seed
         runs: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
-        by_length = defaultdict(list)
         for i, w in enumerate(words):
             q = run_length(len(w), similarity)
             g = K.grams(w, q)
             runs[q][0].append(g)
             runs[q][1].append(np.full(len(g), i))
             runs[q][2].append(np.arange(len(g)))
-            by_length[len(w)].append(i)
         self.runs = {}
         for q, (g, i, at) in runs.items():
             g, i, at = map(np.concatenate, (g, i, at))
@@ -112,12 +121,12 @@ class Items:
             self.runs[q] = (g[order], i[order], at[order])
         self.length = np.array([len(w) for w in words])
         self.most = np.array([allowed(len(w), similarity) for w in words])
-        self.keys = {}
-        for n, members in by_length.items():
-            keys = lsh_keys(np.stack([words[i] for i in members]), seed)
-            flat, owner = keys.ravel(), np.repeat(members, REPEATS)
-            order = np.argsort(flat, kind="stable")
-            self.keys[n] = (flat[order], owner[order])
+        rows = np.zeros((len(words), int(self.length.max())), dtype=np.uint64)
+        for i, w in enumerate(words):
+            rows[i, : len(w)] = w
+        keys = np.concatenate([lsh_keys(rows[a : a + ROWS], self.length[a : a + ROWS], seed) for a in range(0, len(words), ROWS)]).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], np.repeat(np.arange(len(words)), REPEATS)[order]
 
     def proposals(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(start, item) where a run of the words is a run of the item; start is where the item would begin."""
@@ -145,20 +154,20 @@ class Items:
         if not len(start):
             return
         # The document of a proposal is that of its run, which the start may precede by a few words.
-        home = doc[np.clip(start + self.length[item] // 2, 0, len(h) - 1)] if len(h) else start
-        e = self.most[item]
-        span = np.concatenate([np.arange(0, int(e.max()) + 1), -np.arange(1, int(e.max()) + 1)])
+        home = doc[np.clip(start + self.length[item] // 2, 0, len(h) - 1)]
+        start, item, home = np.unique(np.stack([start, item, home]), axis=1)
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        todo = np.unique(np.stack([start, item, home]), axis=1)
-        for shift in span:
-            s, i, d = todo
-            ok = abs(int(shift)) <= self.most[i]
-            self._check(s[ok] + shift, i[ok], d[ok], h, offs, found)
-            # Windows of a document and item that are found with no more edits than this shift need no other.
-            best = np.array([found.get((int(a), int(b)), (1 << 30, 0))[0] for a, b in zip(d, i, strict=True)]) if len(d) else np.zeros(0)
-            todo = todo[:, best > abs(int(shift))]
-            if not todo.shape[1]:
-                break
+        self._check(start, item, home, h, offs, found)
+        # A document and item found without an edit need no other window.
+        left = np.array([found.get((int(d), int(i)), (1, 0))[0] > 0 for d, i in zip(home, item, strict=True)], dtype=bool)
+        start, item, home = start[left], item[left], home[left]
+        around = self.most[item]
+        row = np.repeat(np.arange(len(start)), 2 * around + 1)
+        shift = K._ranges(-around, 2 * around + 1)
+        row, shift = row[shift != 0], shift[shift != 0]
+        for a in range(0, len(row), ROWS * 8):
+            r = row[a : a + ROWS * 8]
+            self._check(start[r] + shift[a : a + ROWS * 8], item[r], home[r], h, offs, found)
         for (d, i), (edits, s) in found.items():
             yield d, i, s, edits
 
@@ -167,25 +176,21 @@ class Items:
         # At the edges of a document the window is what lies inside it.
         start = np.maximum(start, offs[home])
         end = np.minimum(start + n, offs[home + 1])
-        for length in np.unique(n):
-            at = np.flatnonzero((n == length) & (end > start))
-            if not len(at):
-                continue
-            place = start[at][:, None] + np.arange(length)
-            inside = place < end[at][:, None]
-            rows = np.where(inside, h[np.minimum(place, len(h) - 1)], U(0))
-            one = np.unique(np.stack([start[at], end[at]]), axis=1, return_index=True)[1]
-            flat, owner = self.keys[int(length)]
-            keys = lsh_keys(rows[one], self.seed)
-            lo, hi = np.searchsorted(flat, keys.ravel()), np.searchsorted(flat, keys.ravel(), side="right")
-            window = np.repeat(np.repeat(one, REPEATS), hi - lo)
-            whose = owner[K._ranges(lo, hi - lo)]
-            for k, i in set(zip(window.tolist(), whose.tolist(), strict=True)):
-                most = int(self.most[i])
-                s, t, d = int(start[at[k]]), int(end[at[k]]), int(home[at[k]])
-                edits = edit_distance(self.words[i], h[s:t], most)
-                if edits <= most and (edits, s) < found.get((d, i), (most + 1, 0)):
-                    found[d, i] = (edits, s)
+        start, end, home, n = np.unique(np.stack([start, end, home, n])[:, end > start], axis=1)
+        for a in range(0, len(start), ROWS):
+            s, e, m = start[a : a + ROWS], end[a : a + ROWS], n[a : a + ROWS]
+            place = s[:, None] + np.arange(int(m.max()))
+            rows = np.where(place < e[:, None], h[np.minimum(place, len(h) - 1)], U(0))
+            keys = lsh_keys(rows, m, self.seed).ravel()
+            lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+            window = np.repeat(np.repeat(np.arange(len(s)), REPEATS), hi - lo)
+            whose = self.owner[K._ranges(lo, hi - lo)]
+            for code in np.unique(window * len(self.ids) + whose).tolist():
+                k, i = divmod(code, len(self.ids))
+                most, d = int(self.most[i]), int(home[a + k])
+                edits = edit_distance(self.words[i], h[s[k] : e[k]], most)
+                if edits <= most and (edits, s[k]) < found.get((d, i), (most + 1, 0)):
+                    found[d, i] = (edits, int(s[k]))
 
 
 def _member(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
