@@ -8,6 +8,7 @@ import hmac
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenlink.functions.bits import let
 from lumenlink.functions.jrandom import INCREMENT, MULTIPLIER
 
 LOW31 = 2147483647
@@ -52,15 +53,15 @@ def _rounds(k: int, start: int) -> Column:
 
 
 def double_hash(g: Column, k: int, n: int) -> Column:
-    h1, h2 = low32(digest(g)), low32(digest(g, "md5"))
-    return F.transform(_rounds(k, 1), lambda i: (h1 + i * h2).bitwiseAND(F.lit(LOW31)) % n)
+    both = F.struct(low32(digest(g)).alias("one"), low32(digest(g, "md5")).alias("two"))
+    return let(both, lambda h: F.transform(_rounds(k, 1), lambda i: (h["one"] + i * h["two"]).bitwiseAND(F.lit(LOW31)) % n))
 
 
 def enhanced_double_hash(g: Column, k: int, n: int) -> Column:
     """s + C(i + 2, 4) for i = 1..k, s the low 31 bits of the sum of both digests; saturated at 2**31 - 1."""
     s = (low32(digest(g)) + low32(digest(g, "md5"))).bitwiseAND(F.lit(LOW31))
     steps = F.array(*(F.lit((i + 2) * (i + 1) * i * (i - 1) // 24).cast("long") for i in range(1, k + 1)))
-    return F.transform(steps, lambda c: F.least(s + c, F.lit(LOW31).cast("long")) % n)
+    return let(s, lambda v: F.transform(steps, lambda c: F.least(v + c, F.lit(LOW31).cast("long")) % n))
 
 
 def _next_state(v: Column) -> Column:
@@ -81,16 +82,20 @@ def random_hash(g: Column, k: int, n: int) -> Column:
 
 def big_mod(hex_digest: Column, digits: int, n: int) -> Column:
     """A long hex number modulo n, eight digits at a time."""
-    acc = F.lit(0).cast("long")
-    for at in range(1, digits + 1, 8):
-        acc = (acc * (1 << 32) + F.conv(F.substring(hex_digest, at, 8), 16, 10).cast("long")) % n
-    return acc
+
+    def fold(h: Column) -> Column:
+        acc = F.lit(0).cast("long")
+        for at in range(1, digits + 1, 8):
+            acc = (acc * (1 << 32) + F.conv(F.substring(h, at, 8), 16, 10).cast("long")) % n
+        return acc
+
+    return let(hex_digest, fold)
 
 
 def hmac_hash(g: Column, k: int, n: int, key: str = "bloomfilter") -> Column:
     """(h1 + i h2) mod n for i = 0..k-1 on the full HMAC digests."""
-    h1, h2 = big_mod(hmac_digest(g, key, "sha1"), 40, n), big_mod(hmac_digest(g, key, "md5"), 32, n)
-    return F.transform(_rounds(k, 0), lambda i: (h1 + i * h2) % n)
+    both = F.struct(big_mod(hmac_digest(g, key, "sha1"), 40, n).alias("one"), big_mod(hmac_digest(g, key, "md5"), 32, n).alias("two"))
+    return let(both, lambda h: F.transform(_rounds(k, 0), lambda i: (h["one"] + i * h["two"]) % n))
 
 
 FAMILIES = {"dh": double_hash, "edh": enhanced_double_hash, "rh": random_hash, "hmac": hmac_hash}

@@ -23,7 +23,11 @@ def rbf(grams_by_attr: list[Column], k: int, n: int, hashes: str = "dh", seed: i
     each = n // len(grams_by_attr)
     positions = H.family(hashes)
     parts = [F.flatten(F.transform(F.array_distinct(g), lambda x: positions(x, k, each))) for g in grams_by_attr]
-    joined = F.flatten(F.array(*(F.transform(p, lambda x, a=a: x + a * each) for a, p in enumerate(parts))))
+
+    def shifted(part: Column, by: int) -> Column:
+        return F.transform(part, lambda x: x + by)
+
+    joined = F.flatten(F.array(*(shifted(p, a * each) for a, p in enumerate(parts))))
     return permuted(joined, JavaRandom(seed).permutation(each * len(parts)))
 
 
