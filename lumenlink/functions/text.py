@@ -45,8 +45,8 @@ def soundex_variant(c: Column) -> Column:
     """First character as it is, then codes of the coded letters, repeats of a code collapsed, cut and filled to four."""
     s = F.lower(c)
     rest = F.regexp_replace(F.substring(s, 2, 1_000_000), f"[^{CODED}]", "")
-    codes = F.regexp_replace(F.translate(rest, CODED, CODES), r"([1-6])\1+", "$1")
-    return F.substring(F.rpad(F.concat(F.substring(s, 1, 1), codes), 4, "0"), 1, 4)
+    codes = F.concat(F.substring(s, 1, 1), F.translate(rest, CODED, CODES))
+    return F.substring(F.rpad(F.regexp_replace(codes, r"([1-6])\1+", "$1"), 4, "0"), 1, 4)
 
 
 def joined(values: Column) -> Column:

@@ -38,10 +38,10 @@ def big_mod(h: str, digits: int, n: int) -> str:
 
 
 def soundex(c: str) -> str:
-    rest = f"translate(regexp_replace(substr(lower({c}), 2), '[^bfpvlcgjkqsxzmndtr]', '', 'g'), 'bfpvlcgjkqsxzmndtr', '111142222222255336')"
+    code = f"substr(lower({c}), 1, 1) || translate(regexp_replace(substr(lower({c}), 2), '[^bfpvlcgjkqsxzmndtr]', '', 'g'), 'bfpvlcgjkqsxzmndtr', '111142222222255336')"
     for d in "123456":
-        rest = f"regexp_replace({rest}, '{d}+', '{d}', 'g')"
-    return f"substr(rpad(substr(lower({c}), 1, 1) || {rest}, 4, '0'), 1, 4)"
+        code = f"regexp_replace({code}, '{d}+', '{d}', 'g')"
+    return f"substr(rpad({code}, 4, '0'), 1, 4)"
 
 
 def shown(bits: str) -> str:
