@@ -333,7 +333,7 @@ def bf_encode_resam(spark, d):
 _SIZES = f"SELECT len({GRAMS}) AS s FROM rec_a UNION ALL SELECT len({GRAMS}) FROM rec_b"
 
 
-@query(f"WITH {V.SQL_B} SELECT CAST(floor({math.log(2)!r} * {BITS} / avg(s) + 0.5) AS BIGINT) AS k FROM ({_SIZES})")
+@query(f"WITH {V.SQL_B} SELECT CAST(floor(CAST({math.log(2)!r} AS DOUBLE) * {BITS} / avg(s) + 0.5) AS BIGINT) AS k FROM ({_SIZES})")
 def optimal_k(spark, d):
     return E.optimal_k(_grams(_a(spark, d)), _grams(V.records_b(spark, d)), "grams", BITS)
 
