@@ -67,7 +67,7 @@ def _scores(ids: pa.Array, texts: pa.Array, ratio: np.ndarray, seed: int) -> tup
     for i, j, buf, offs in K.blocks(texts):
         bucket, doc = _buckets(buf, offs)
         n = np.bincount(doc, minlength=j - i)
-        weight = np.bincount(doc, weights=ratio[bucket], minlength=j - i)
+        weight = np.bincount(doc, weights=ratio[bucket], minlength=j - i).astype(np.float64)  # of nothing it counts in integers
         own = ids.slice(i, j - i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         body = K.Rolling(buf).of(offs[:-1], offs[1:])
         u = (K.mix(K.mix(own + np.uint64(seed)) ^ body) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54

@@ -329,8 +329,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows and columns of ``docs`` that ``near_duplicates`` keeps: one of each component.
 
-    Of rows that share an id one is kept, the least by a hash of the text.  A row without an id is
-    kept unless its component has an id.
+    Of rows that share an id one is kept, the least by a hash of the text.  Rows without an id cannot
+    be told apart and are all kept if one of them is.
     """
     found = near_duplicates(docs, id_col, text_col, **how)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
