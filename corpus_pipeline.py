@@ -14,7 +14,7 @@ from lumenlink.llm.dsir import resampled
 from lumenlink.llm.mixing import mix_sources
 from lumenlink.llm.near import one_of_each
 from lumenlink.llm.pii import pseudonymise
-from lumenlink.llm.store import keep
+from lumenlink.llm.store import keep, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
+    ship(spark)
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)

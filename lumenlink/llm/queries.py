@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ from lumenlink.llm.near import near_duplicates
 from lumenlink.llm.passages import near_passages
 from lumenlink.llm.pii import pseudonymise
 from lumenlink.llm.rules import decision_list
+from lumenlink.llm.store import ship
 from lumenlink.llm.suffix import cut_repeats
 from lumenlink.llm.urls import URL_SQL, page_captures, page_entries, temporal_filter
 from lumenlink.llm.warc import WARC_SQL, round_trip
@@ -63,8 +65,21 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_passages(_table(spark, sf_dir, "documents"))
 
 
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_decision_list, op3_temporal_url_list, op4_columnwise_suffix_dedup, op5_water_filling, op6_cgk_decontamination, op7_importance_resampling, op8_warc_index, op9_minhash_inverted_join, op10_compact_windows)}
+    """The queries by name; those that run Python on the executors send the package there first if they must."""
+    native = (op3_temporal_url_list, op5_water_filling)
+    python = (op1_pii_surrogates, op2_decision_list, op4_columnwise_suffix_dedup, op6_cgk_decontamination, op7_importance_resampling, op8_warc_index, op9_minhash_inverted_join, op10_compact_windows)
+    found = {f.__name__: f for f in native} | {f.__name__: _shipped(f) for f in python}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:

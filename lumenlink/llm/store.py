@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PREFIX = "spark.lumenlink.ownCheckpointDir"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (as in tests), a local one is made and set."""
@@ -23,8 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lumenlink-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/lumenlink-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process has kept so far.  Results that have not been written yet must not be read after it."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _clear() -> None:
+    """What is left when the process ends, as far as it lies in a mounted folder."""
+    for path in _made:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -35,24 +56,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of this session that are no longer needed."""
-    for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Kept:
-    """Tables that one computation keeps, so that they can be dropped by name."""
+_asked: set[str] = set()
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        df.write.parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        drop(self.spark, *(self.paths.pop(n) for n in names if n in self.paths))
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, if they cannot import it by themselves."""
+    sc = spark.sparkContext
+    if sc.applicationId in _asked:
+        return
+    _asked.add(sc.applicationId)
+    if not sc.parallelize([0], 1).map(lambda _: __import__("importlib.util").util.find_spec("lumenlink") is not None).first():
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        root, name = os.path.split(package)
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name))
