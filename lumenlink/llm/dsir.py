@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlink.llm import kernels as K
-from lumenlink.llm.store import keep
+from lumenlink.llm.store import hash_sample, keep
 
 BUCKETS = 1 << 14
 #: Labelled documents that the models and the size of the sample are fitted on, at most.
@@ -133,7 +133,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, g
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = rows.sparkSession
     chosen = labels.where(good).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    sample = np.array([r[0] for r in chosen.orderBy(F.xxhash64("id"), "id").limit(MAX_TARGET).collect()], dtype=np.int64)
+    sample = np.array([r[0] for r in hash_sample(chosen, "id", MAX_TARGET).collect()], dtype=np.int64)
     target, unseen = np.sort(sample[::2]), np.sort(sample[1::2])
     counts = rows.mapInArrow(_count(target), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, hit = np.full(BUCKETS, 1.0), np.zeros(BUCKETS)

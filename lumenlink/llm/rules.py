@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlink.llm import kernels as K
-from lumenlink.llm.store import keep
+from lumenlink.llm.store import hash_sample, keep
 
 #: Labelled rows that a list is learned from, at most (the least by a hash of the id).
 MAX_LABELLED = 20_000
@@ -195,12 +195,12 @@ def base_failed() -> Column:
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", **how) -> list[Rule]:
-    """Learn from the rows of ``text_statistics`` that pass the base rules and have a 0/1 label."""
+    """Learn from the rows of ``text_statistics`` that pass the base rules and have a 0/1 label, one row for each id.  Of several labels of an id the least counts."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.min("label").alias("label"))
-    rows = stats.where(~base_failed()).join(known, "id")
+    rows = stats.where(~base_failed()).dropDuplicates(["id"]).join(known, "id")
     values = [F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]
-    table = rows.orderBy(F.xxhash64("id"), "id", *COUNTS).limit(MAX_LABELLED).select("label", *values).toPandas()
+    table = hash_sample(rows, "id", MAX_LABELLED).select("label", *values).toPandas()
     if not len(table):
         return []
     return learn_list({f: table[f].to_numpy(dtype=float) for f in FEATURES}, table["label"].to_numpy() == 0, **how)

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those with the least hashes of ``key``, which must be distinct.
+
+    Tasks drop what lies far above the cut before the rows are ordered, so they send about ``limit``
+    rows together, whatever their number.
+    """
+    n = df.count()
+    if n > 2 * limit:
+        share = int((1.3 * limit / n) * (1 << 40)) + 1
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < share)
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key).limit(limit)
+
+
 _asked: set[str] = set()
 
 
