@@ -341,3 +341,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         turn = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text_col)))
         out = out.withColumn("lumenlink_turn", F.when(F.col(id_col).isNull(), 1).otherwise(turn)).where("lumenlink_turn = 1")
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NEAR_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 80 * (x.n + y.n - p.c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.y AS component_id, d.doc_id = m.y AS kept
+FROM d JOIN m ON m.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -270,13 +270,21 @@ def _write(at: int, key: bytes) -> Callable:
     return run
 
 
-def assign(entities: DataFrame, key: bytes) -> DataFrame:
+def _draw(key: bytes, attempt: int, rule: Callable[[bytes, str, str, int], str]) -> Callable:
+    def run(batches):
+        for batch in batches:
+            new = [rule(key, kind, norm, attempt) for kind, norm in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "norm", "new"])
+
+    return run
+
+
+def assign(entities: DataFrame, key: bytes, rule: Callable[[bytes, str, str, int], str] = surrogate) -> DataFrame:
     """Distinct (kind, norm) -> (kind, norm, new), new distinct inside a kind and never a real entity of it."""
-    draw = F.udf(lambda kind, norm, attempt: surrogate(key, kind, norm, attempt), "string")
     real = entities.select("kind", F.col("norm").alias("new"))
     done, todo, attempt = None, entities, 0
     while True:
-        drawn = keep(todo.withColumn("new", draw("kind", "norm", F.lit(attempt))), "drawn")
+        drawn = keep(todo.mapInArrow(_draw(key, attempt, rule), "kind string, norm string, new string"), "drawn")
         free = drawn.join(real, ["kind", "new"], "left_anti")
         if done is not None:
             free = free.join(done, ["kind", "new"], "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenlink.llm.decontaminate import contaminated
 from lumenlink.llm.dsir import importance_resampling
 from lumenlink.llm.mixing import MIX_SQL, mix_sources
-from lumenlink.llm.near import near_duplicates
+from lumenlink.llm.near import NEAR_SQL, near_duplicates
 from lumenlink.llm.passages import near_passages
 from lumenlink.llm.pii import pseudonymise
 from lumenlink.llm.rules import decision_list
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_temporal_url_list": URL_SQL, "op5_water_filling": MIX_SQL, "op8_warc_index": WARC_SQL}
+    return {"op3_temporal_url_list": URL_SQL, "op5_water_filling": MIX_SQL, "op8_warc_index": WARC_SQL, "op9_minhash_inverted_join": NEAR_SQL}
