@@ -42,6 +42,16 @@ def words(positions: Column, n: int, prefix: str = "w") -> dict[str, Column]:
     return {f"{prefix}{k}": word(positions, k) for k in range(-(-n // 64))}
 
 
+def word_array(positions: Column, n: int) -> Column:
+    """The words of a vector as an array, for tests of many positions."""
+    return F.array(*(word(positions, k) for k in range(-(-n // 64))))
+
+
+def has(packed: Column, p: Column) -> Column:
+    """Is position p set in an array of words?"""
+    return F.getbit(F.get(packed, F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1
+
+
 def common(left: list[Column], right: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, (F.bit_count(x.bitwiseAND(y)) for x, y in zip(left, right, strict=True))).cast("long")
 

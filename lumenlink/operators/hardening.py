@@ -58,7 +58,7 @@ def resample_xor(bits: Column, n: int, seed: int = 42) -> Column:
 
 def _noisy(bits: Column, n: int, keep: Callable[[Column, Column], Column]) -> Column:
     """The positions p below n where keep(p, is p set?) holds."""
-    return B.let(bits, lambda b: B.chosen(n, lambda p: keep(p, B.is_set(b, p))))
+    return B.let(bits, lambda b: B.let(B.word_array(b, n), lambda w: B.chosen(n, lambda p: keep(p, B.has(w, p)))))
 
 
 def _blip(row: Column, p: Column, was: Column, prob, seed: str) -> Column:
@@ -94,9 +94,10 @@ def frequency_groups(frequencies: DataFrame, n: int, groups: int) -> DataFrame:
     return frequencies.select("bit", "freq", F.when(rank < size * groups, F.floor(rank / size).cast("int")).alias("grp"))
 
 
-def _with_list(df: DataFrame, positions: DataFrame, name: str) -> DataFrame:
-    """One row's list of positions, at most as long as the filter, beside every record."""
-    return df.crossJoin(F.broadcast(positions.agg(F.array_sort(F.collect_list("bit")).alias(name))))
+def _with_list(df: DataFrame, by_bit: DataFrame, value: str, name: str) -> DataFrame:
+    """One row's list of a value for each bit, as long as the filter, beside every record."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("bit", value))), lambda s: s[value])
+    return df.crossJoin(F.broadcast(by_bit.agg(listed.alias(name))))
 
 
 def urap_parameters(epsilon: float) -> tuple[float, float, float]:
@@ -107,32 +108,29 @@ def urap_parameters(epsilon: float) -> tuple[float, float, float]:
 def urap(df: DataFrame, bits: str, n: int, row: str, ratio: float, epsilon: float, out: str = "hardened", seed: str = SEED) -> DataFrame:
     """Secret bits answer one with probability theta if set and d1 if not; other bits stay zero, and ones stay with probability 1 - d2."""
     theta, d1, d2 = urap_parameters(epsilon)
-    plain = secret_split(bit_frequency(df, bits, n), n, ratio).where(~F.col("secret"))
-    held = _with_list(df, plain, "_plain")
+    held = _with_list(df, secret_split(bit_frequency(df, bits, n), n, ratio), "secret", "_secret")
 
     def keep(p, was):
         u = B.coin(seed, F.col(row), p, "response")
-        return F.when(F.array_contains(F.col("_plain"), p), was & (u < 1 - d2)).otherwise(u < F.when(was, F.lit(theta)).otherwise(F.lit(d1)))
+        return F.when(~F.get(F.col("_secret"), p), was & (u < 1 - d2)).otherwise(u < F.when(was, F.lit(theta)).otherwise(F.lit(d1)))
 
-    return held.withColumn(out, _noisy(F.col(bits), n, keep)).drop("_plain")
+    return held.withColumn(out, _noisy(F.col(bits), n, keep)).drop("_secret")
 
 
 def urap_prob(df: DataFrame, bits: str, n: int, row: str, ratio: float, secret_prob: float, plain_prob: float, out: str = "hardened", seed: str = SEED) -> DataFrame:
     """As urap with given probabilities: secret bits are replaced by a coin with one, set bits of the others with the other."""
-    plain = secret_split(bit_frequency(df, bits, n), n, ratio).where(~F.col("secret"))
-    held = _with_list(df, plain, "_plain")
+    held = _with_list(df, secret_split(bit_frequency(df, bits, n), n, ratio), "secret", "_secret")
 
     def keep(p, was):
-        return F.when(F.array_contains(F.col("_plain"), p), was & _blip(F.col(row), p, was, F.lit(plain_prob), seed)).otherwise(_blip(F.col(row), p, was, F.lit(secret_prob), seed))
+        return F.when(~F.get(F.col("_secret"), p), was & _blip(F.col(row), p, was, F.lit(plain_prob), seed)).otherwise(_blip(F.col(row), p, was, F.lit(secret_prob), seed))
 
-    return held.withColumn(out, _noisy(F.col(bits), n, keep)).drop("_plain")
+    return held.withColumn(out, _noisy(F.col(bits), n, keep)).drop("_secret")
 
 
 def indexed(df: DataFrame, bits: str, n: int, row: str, probs: list[float], out: str = "hardened", seed: str = SEED) -> DataFrame:
     """Bits of the g-th frequency group are replaced by a coin with the g-th probability; left-over bits stay."""
     groups = frequency_groups(bit_frequency(df, bits, n), n, len(probs)).withColumn("prob", F.coalesce(F.get(F.array(*(F.lit(float(p)) for p in probs)), F.col("grp")), F.lit(0.0)))
-    table = groups.agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", "prob"))), lambda s: s["prob"]).alias("_probs"))
-    held = df.crossJoin(F.broadcast(table))
+    held = _with_list(df, groups, "prob", "_probs")
     return held.withColumn(out, _noisy(F.col(bits), n, lambda p, was: _blip(F.col(row), p, was, F.get(F.col("_probs"), p), seed))).drop("_probs")
 
 

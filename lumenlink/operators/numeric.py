@@ -28,7 +28,7 @@ def threshold_bits(value: Column, shared: list[float]) -> Column:
 
 
 def flipped(bits: Column, m: int, flip) -> Column:
-    return B.let(bits, lambda b: B.chosen(m, lambda p: B.is_set(b, p) != flip(p)))
+    return B.let(bits, lambda b: B.let(B.word_array(b, m), lambda w: B.chosen(m, lambda p: B.has(w, p) != flip(p))))
 
 
 def noise_dprl(bits: Column, m: int, row: Column, f: float = COIN, seed: str = SEED) -> Column:
@@ -60,7 +60,7 @@ def noise_v2(bits: Column, m: int, row: Column, epsilon: float = EPSILON, seed:
 
 def noise_v3(bits: Column, m: int, row: Column, epsilon: float = EPSILON, seed: str = SEED) -> Column:
     """Zeros become one with probability exp(-epsilon)."""
-    return B.let(bits, lambda b: B.chosen(m, lambda p: B.is_set(b, p) | (B.coin(seed, row, p, "response") < math.exp(-epsilon))))
+    return B.let(bits, lambda b: B.let(B.word_array(b, m), lambda w: B.chosen(m, lambda p: B.has(w, p) | (B.coin(seed, row, p, "response") < math.exp(-epsilon)))))
 
 
 def ue_bits(value: Column, low: float, high: float, row: Column, gap: float = 1.0, epsilon: float = EPSILON, seed: str = SEED) -> Column:
