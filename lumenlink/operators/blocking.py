@@ -56,8 +56,8 @@ def band_keys(signature: Column, bands: int, rows: int) -> Column:
 
 
 def blocks(df: DataFrame, keys: Column, entity: str = "entity_id") -> DataFrame:
-    """Long form, each key of a record once; records without keys are in no block."""
-    return df.select(F.col(entity), F.explode(keys).alias("block_key")).distinct()
+    """Long form, each key of a record once, without a shuffle; records without keys are in no block."""
+    return df.select(F.col(entity), F.explode(F.array_distinct(keys)).alias("block_key"))
 
 
 def block_stats(block_table: DataFrame, large: int = 100) -> DataFrame:
