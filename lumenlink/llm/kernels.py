@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that one block holds at most, unless one document is longer.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
