@@ -46,7 +46,7 @@ ENDINGS = {"latin": {"": "son er ley field man well ton berg".split()}, "cyrilli
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 _GENDER = {name.casefold(): (script, g) for (script, g), names in GIVEN.items() for name in names}
-_EMAIL = re.compile(r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+")
+_EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+")
 _SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|api[_-]?key|access[_-]?key|secret|password|passwd|pwd)[\"']?\s*[:=]\s*[\"']?([^\s\"'<>]{8,})")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NUMERIC = re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[\d().\- ]{5,}\d|[\d.]{5,})(?!\w)")
