@@ -144,7 +144,12 @@ class Sites:
 
 
 def _sites(length: int) -> Callable:
-    """Rows (row, text) -> (row, key, string, pos), pos packing the place and the offsets of an anchor's windows."""
+    """Rows (row, text) -> (row, key, string, pos, more, weight), pos packing the place and the offsets of an anchor's windows.
+
+    Equal strings of a text no more than ``length`` apart, as in a text of one word, are one row: its
+    first place, how far the last one lies behind, and their number.  Their windows all repeat,
+    and together cover all that lies between.
+    """
 
     def run(batches):
         for batch in batches:
@@ -152,13 +157,21 @@ def _sites(length: int) -> Callable:
             for i, _, buf, offs in K.blocks(batch.column(1)):
                 s = Sites(buf, offs, length)
                 if len(s.doc):
-                    pos = ((s.place - offs[s.doc]) << 24) | (s.lo << 12) | s.hi
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[i + s.doc]), K.signed(s.key), K.signed(s.string), pa.array(pos)], names=["row", "key", "string", "pos"])
+                    order = np.lexsort((s.place, s.string, s.doc))
+                    doc, string, place = s.doc[order], s.string[order], s.place[order]
+                    new = np.ones(len(doc), dtype=bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (string[1:] != string[:-1]) | (place[1:] - place[:-1] > length)
+                    first = np.flatnonzero(new)
+                    last = np.append(first[1:], len(doc)) - 1
+                    at = order[first]
+                    pos = ((place[first] - offs[doc[first]]) << 24) | (s.lo[at] << 12) | s.hi[at]
+                    columns = [pa.array(rows[i + doc[first]]), K.signed(s.key[at]), K.signed(string[first]), pa.array(pos), pa.array(place[last] - place[first]), pa.array(last - first + 1)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "string", "pos", "more", "weight"])
 
     return run
 
 
-SITE = "row long, key long, string long, pos long"
+SITE = "row long, key long, string long, pos long, more long, weight long"
 
 
 def _strings(length: int) -> Callable:
@@ -283,9 +296,9 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     if not 2 * GRAM <= length < 4096:
         raise ValueError(f"length must be from {2 * GRAM} to 4095 bytes")
     sites = rows.where(F.octet_length("text") >= length).mapInArrow(_sites(length), SITE)
-    met = sites.groupBy("key").count().where("count > 1").select("key")
+    met = sites.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key")
     shared = keep(sites.join(met, "key", "left_semi"), "sites")
-    strings = keep(shared.groupBy("key", "string").agg(F.count(F.lit(1)).alias("weight"), F.min("row").alias("row")), "strings")
+    strings = keep(shared.groupBy("key", "string").agg(F.sum("weight").alias("weight"), F.min("row").alias("row")), "strings")
     asked = strings.groupBy("row").agg(F.collect_list(F.struct("string", "weight")).alias("wanted"))
     texts = rows.join(asked, "row").select("text", "wanted")
     found = keep(texts.mapInArrow(_strings(length), STRING), "texts")
@@ -302,7 +315,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
         verdicts = verdicts.unionByName(windows.join(twice, "window", "left_semi").groupBy("key", "string").agg(F.max("offset").alias("most"), F.min("offset").alias("least")))
     hits = shared.join(keep(verdicts, "verdicts"), ["key", "string"])
     place = F.shiftright("pos", 24)
-    return hits.select("row", (place - F.col("most")).alias("start"), (place - F.col("least") + length).alias("end"))
+    return hits.select("row", (place - F.col("most")).alias("start"), (place + F.col("more") - F.col("least") + length).alias("end"))
 
 
 def _once(batches):
