@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlink.llm import kernels as K
+from lumenlink.llm.store import limit_batches
 
 #: Benchmark items that one pass over the documents handles at most; more go in further passes.
 BLOCK_ITEMS = 20_000
@@ -250,6 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, similarity: float, min_words: int, seed: int) -> Iterator[Items]:
     """The benchmark in blocks of at most BLOCK_ITEMS items, read one partition at a time."""
+    limit_batches(benchmark.sparkSession)
     block: list[tuple[int, np.ndarray]] = []
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     for r in rows.orderBy("item_id", "text").toLocalIterator():

@@ -49,9 +49,22 @@ def _clear() -> None:
             shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker, so that long texts do not add up.
+BATCH_BYTES = 8 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, unless its own limit is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = str(spark.conf.get(name, "64mb")).lower().rstrip("b")
+    if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    limit_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
