@@ -5,7 +5,7 @@ text - give every document the log importance weight sum(log p_target - log p_ra
 n-grams.  A sample without replacement in proportion to the weights is the top k of
 log weight + Gumbel noise; the noise is a keyed hash of the document's id and text, so reruns agree.
 
-Target text is the documents labelled good, at most ``MAX_TARGET`` of them (the least by a
+Target text is the documents labelled good and not toxic, at most ``MAX_TARGET`` of them (the least by a
 hash of the id).  One half of them fits the target model, the other half, which that model has
 not seen, tells how far down the sample must reach; everything else covers all documents.  The
 target model is shrunk towards the raw one by ``SHRINK`` pseudo-counts a bucket, so that n-grams
@@ -132,9 +132,13 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, g
     """The weighed rows, the broadcast model, and the step that the keys of the sample reach."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = rows.sparkSession
-    chosen = labels.where(good).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    sample = np.array([r[0] for r in hash_sample(chosen, "id", MAX_TARGET).collect()], dtype=np.int64)
-    target, unseen = np.sort(sample[::2]), np.sort(sample[1::2])
+    named = lambda rule: labels.where(rule).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    chosen = named(good)
+    toxic = named(TOXIC) if "toxic" in labels.columns else chosen.limit(0)
+    chosen = chosen.join(toxic.withColumn("toxic", F.lit(True)), "id", "left")
+    sample = hash_sample(chosen, "id", MAX_TARGET).collect()
+    # Toxic ones leave the halves that they are in, so the halves do not depend on them.
+    target, unseen = (np.sort(np.array([r.id for r in sample[k::2] if not r.toxic], dtype=np.int64)) for k in (0, 1))
     counts = rows.mapInArrow(_count(target), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, hit = np.full(BUCKETS, 1.0), np.zeros(BUCKETS)
     for bucket, r, t in counts.collect():
@@ -154,7 +158,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, g
     return weighed, table, LEAST if cut is None else cut
 
 
-GOOD = "quality = 1"
+GOOD, TOXIC = "quality = 1", "toxic = 1"
 
 
 def importance_resampling(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = GOOD, seed: int = 20, retained: float = RETAINED) -> DataFrame:
@@ -163,8 +167,9 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, id_col: str = "doc
     kept marks the k documents with the largest Gumbel keys, where k counts the documents whose
     weight is at least that which all but ``1 - retained`` of the labelled good ones reach.
     Documents without a word (null and empty texts too) have no key and are not kept.  Rows with
-    equal keys are kept or dropped together.  Without labelled good documents every document
-    with a word is kept.  Only the id, the text and the labels' columns are read.
+    equal keys are kept or dropped together.  Documents labelled toxic, in a row of any quality, are
+    no target and do not set k; a null in toxic, or no such column, says nothing.  Without labelled
+    good documents every document with a word is kept.  Only the id, the text and the labels' columns are read.
     """
     weighed, _, cut = fit_sample(docs, labels, id_col, text_col, good, seed, retained)
     kept = F.coalesce(F.col("step") >= F.lit(cut), F.lit(False))

@@ -85,6 +85,22 @@ def test_sample_prefers_target_text_and_is_stable(spark):
     assert {d for d, _ in rows} == kept and len(rows) == sum(v for v in out.select(F.col("kept").cast("int")).toPandas()["kept"])
 
 
+def test_toxic_documents_are_no_target(spark):
+    r = random.Random(8)
+    word = lambda: f"g{int(r.expovariate(0.02))}"
+    text = lambda toxic: " ".join(f"t{r.randrange(30)}" if toxic and r.random() < 0.5 else word() for _ in range(r.randrange(60, 200)))
+    toxic = {k for k in range(1500) if k % 8 in (0, 1)}
+    docs = spark.createDataFrame([(k, text(k in toxic)) for k in range(1500)], "doc_id long, text string")
+    # Of the rest every other one has a null in toxic; each toxic document has a second row that says nothing of it.
+    rows = [(k, 1, 1 if k in toxic else (0 if k % 4 else None)) for k in range(0, 1500, 2)] + [(k, 1, None) for k in sorted(toxic) if k % 2 == 0]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    kept = {x.doc_id for x in dsir.importance_resampling(docs, labels).collect() if x.kept}
+    assert {x.doc_id for x in dsir.resampled(docs, labels).collect()} == kept
+    unseen = range(1, 1500, 2)
+    assert np.mean([k in kept for k in unseen if k not in toxic]) > 0.97
+    assert np.mean([k in kept for k in unseen if k in toxic]) < 0.05
+
+
 def test_gumbel_draws_follow_the_weights(spark):
     """Chance of a place in the sample grows with the weight, and equal weights differ by the draw alone."""
     keys = dsir._scores
