@@ -8,9 +8,10 @@ log weight + Gumbel noise; the noise is a keyed hash of the document's id and te
 Target text is the documents labelled good and not toxic, at most ``MAX_TARGET`` of them (the least by a
 hash of the id).  One half of them fits the target model, the other half, which that model has
 not seen, tells how far down the sample must reach; everything else covers all documents.  The
-target model is shrunk towards the raw one by ``SHRINK`` pseudo-counts a bucket, so that n-grams
-too rare to judge weigh nothing.  Only the two count vectors, of the fixed length ``BUCKETS``,
-and the bounded label sample come to the driver.
+target's rate of a bucket is the raw one times a factor with a Gamma(``PRIOR``, ``PRIOR``) prior,
+whose posterior mean is (seen + PRIOR) / (expected + PRIOR): n-grams too rare to judge weigh
+nothing, and those that the target should hold and does not weigh much.  Only the two count vectors,
+of the fixed length ``BUCKETS``, and the bounded label sample come to the driver.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from lumenlink.llm import kernels as K
 from lumenlink.llm.store import hash_sample, keep
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
+#: Buckets of one row of partial counts.
+CHUNK = 1 << 12
 #: Labelled documents that the models and the size of the sample are fitted on, at most.
 MAX_TARGET = 20_000
 #: Share of the labelled good documents whose weight the sample must reach down to.
 RETAINED = 0.995
-SHRINK = 4.0
+PRIOR = 16.0
 
 
 def _buckets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +47,7 @@ def _buckets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _count(target: np.ndarray) -> Callable:
-    """Partial counts: rows (bucket, raw, target), one for each bucket that a task has met."""
+    """Partial counts of a task: rows (chunk, raw, target) of CHUNK counts each."""
 
     def run(batches):
         raw, good = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
@@ -54,13 +57,37 @@ def _count(target: np.ndarray) -> Callable:
             for i, j, buf, offs in K.blocks(batch.column(1)):
                 bucket, doc = _buckets(buf, offs)
                 raw += np.bincount(bucket, minlength=BUCKETS)
-                good += np.bincount(bucket[mine[i:j][doc]], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "target"])
+                hit = bucket[mine[i:j][doc]]
+                if len(hit):
+                    good += np.bincount(hit, minlength=BUCKETS)
+        yield _chunks(np.flatnonzero(raw.reshape(-1, CHUNK).any(1)), raw, good)
 
     return run
 
 
+def _chunks(some: np.ndarray, raw: np.ndarray, good: np.ndarray) -> pa.RecordBatch:
+    rows = [x.reshape(-1, CHUNK)[some] for x in (raw, good)]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in rows)], names=["chunk", "raw", "target"])
+
+
+def _add(batches):
+    """The sums of the partial counts of a task's chunks; it holds one vector at most, whatever the number of rows."""
+    raw, good = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        for chunk, r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at = slice(chunk * CHUNK, (chunk + 1) * CHUNK)
+            raw[at] += np.frombuffer(r, dtype=np.int64)
+            good[at] += np.frombuffer(t, dtype=np.int64)
+    yield _chunks(np.flatnonzero(raw.reshape(-1, CHUNK).any(1)), raw, good)
+
+
+def log_ratio(raw: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw of each bucket, from the counts of all text and of the target."""
+    expected = hit.sum() * raw / max(1, raw.sum())
+    factor = (hit + PRIOR) / (expected + PRIOR)
+    return np.log(factor) - np.log(max((raw * factor).sum(), 1e-300) / max(1, raw.sum()) if raw.any() else 1.0)
+
+
 def _scores(ids: pa.Array, texts: pa.Array, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n-grams, log weight and Gumbel key of each row."""
     parts = []
@@ -139,13 +166,13 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, g
     sample = hash_sample(chosen, "id", MAX_TARGET).collect()
     # Toxic ones leave the halves that they are in, so the halves do not depend on them.
     target, unseen = (np.sort(np.array([r.id for r in sample[k::2] if not r.toxic], dtype=np.int64)) for k in (0, 1))
-    counts = rows.mapInArrow(_count(target), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
-    raw, hit = np.full(BUCKETS, 1.0), np.zeros(BUCKETS)
-    for bucket, r, t in counts.collect():
-        raw[bucket] += r
-        hit[bucket] += t
-    share = raw / raw.sum()
-    ratio = np.log((hit + SHRINK * BUCKETS * share) / (hit.sum() + SHRINK * BUCKETS)) - np.log(share)
+    schema = "chunk long, raw binary, target binary"
+    counts = rows.mapInArrow(_count(target), schema).repartition("chunk").mapInArrow(_add, schema)
+    raw, hit = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    for chunk, r, t in counts.collect():
+        at = slice(chunk * CHUNK, (chunk + 1) * CHUNK)
+        raw[at], hit[at] = np.frombuffer(r, dtype=np.int64), np.frombuffer(t, dtype=np.int64)
+    ratio = log_ratio(raw, hit)
     table = spark.sparkContext.broadcast(ratio)
     weighed = keep(rows.mapInArrow(lambda batches: _weigh(table.value, seed)(batches), "id long, n long, log_weight double, gumbel_key double, step long"), "weighed")
     some = weighed.where("n > 0")

@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenlink.llm import dsir, mixing
+from lumenlink.llm import dsir, mixing, store
 
 
 def fill(sizes, weights, most):
@@ -40,7 +41,7 @@ def test_sources_reach_their_targets(spark):
     rows = [(k, None if k % 40 == 0 else " ".join(["w"] * r.randrange(0, 50)), r.choice([None, "a", "b", "c", "d", "Ä"]) if k % 3 else "a", "clash") for k in range(900)] + [(5, "x y", "a", "c")] * 3 + [(None, "x y z", "b", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
     out = mixing.mix_sources(docs)
-    assert out.columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "source"]
     got = out.collect()
     assert len(got) == len(rows)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7)).collect()))
@@ -101,6 +102,40 @@ def test_toxic_documents_are_no_target(spark):
     assert np.mean([k in kept for k in unseen if k in toxic]) < 0.05
 
 
+def test_weights_match_a_plain_recomputation(spark):
+    """Counts, models and weights from strings, by dictionaries; only the bucket of an n-gram is the operator's."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["Aa", "bb", "cc,", "dd", "ee", "ünï"][: 2 + k % 5]) for _ in range(r.randrange(0, 40))) for k in range(120)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 120, 3)], "doc_id long, quality int")
+    got = {x.doc_id: x for x in dsir.importance_resampling(docs, labels).collect()}
+
+    def bucket(gram):
+        data = gram.encode()
+        return int(dsir._buckets(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))[0][-1])
+
+    def grams(text):
+        words = text.split(" ") if text else []
+        return [bucket(w) for w in words] + [bucket(f"{a} {b}") for a, b in zip(words, words[1:], strict=False)]
+
+    sample = [x.id for x in store.hash_sample(labels.select(F.col("doc_id").alias("id")), "id", dsir.MAX_TARGET).collect()]
+    raw, hit = Counter(), Counter()
+    for k, t in enumerate(texts):
+        raw.update(grams(t))
+        if k in sample[::2]:
+            hit.update(grams(t))
+    n_raw, n_hit = sum(raw.values()), sum(hit.values())
+    rate = {b: raw[b] / n_raw * (hit[b] + dsir.PRIOR) / (n_hit * raw[b] / n_raw + dsir.PRIOR) for b in raw}
+    total = sum(rate.values())
+    weights = {k: sum(np.log(rate[b] / total) - np.log(raw[b] / n_raw) for b in grams(t)) for k, t in enumerate(texts)}
+    for k, t in enumerate(texts):
+        assert got[k].n_grams == len(grams(t)) and abs(got[k].log_weight - weights[k]) < 1e-6
+    floor = np.quantile([weights[k] for k in sample[1::2] if texts[k]], 1 - dsir.RETAINED)
+    size = sum(w >= floor - 1e-9 for k, w in weights.items() if texts[k])
+    best = sorted((x.gumbel_key for x in got.values() if x.n_grams), reverse=True)[:size]
+    assert {d for d, x in got.items() if x.kept} == {d for d, x in got.items() if x.n_grams and x.gumbel_key >= best[-1] - 2e-6}
+
+
 def test_gumbel_draws_follow_the_weights(spark):
     """Chance of a place in the sample grows with the weight, and equal weights differ by the draw alone."""
     keys = dsir._scores
