@@ -195,10 +195,11 @@ def base_failed() -> Column:
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", **how) -> list[Rule]:
-    """Learn from the rows of ``text_statistics`` that pass the base rules and have a 0/1 label, one row for each id.  Of several labels of an id the least counts."""
+    """Learn from the rows of ``text_statistics`` that pass the base rules and have a 0/1 label, one row for each id.  Of several labels of an id the least counts, and so of several rows."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.min("label").alias("label"))
-    rows = stats.where(~base_failed()).dropDuplicates(["id"]).join(known, "id")
+    usable = stats.where(~base_failed()).join(known, "id")  # only labelled rows are told apart
+    rows = usable.groupBy("id", "label").agg(F.min(F.struct(*COUNTS)).alias("s")).select("id", "label", "s.*")
     values = [F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]
     table = hash_sample(rows, "id", MAX_LABELLED).select("label", *values).toPandas()
     if not len(table):
@@ -207,7 +208,7 @@ def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
 
 
 def decision_list(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, COUNTS, base_failed, kept.
+    """One row per row of ``docs``: the id, the first five of COUNTS, base_failed, kept, the other counts.
 
     kept is false where the base rules fail (fewer than 50 words, or more than half of the words in
     repeated 3-word windows; null and empty texts too) and the learned list's verdict elsewhere.
@@ -216,5 +217,6 @@ def decision_list(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     stats = keep(text_statistics(docs, id_col, text_col), "statistics")
     rules = fit_rules(stats, labels, id_col)
     failed = base_failed()
-    return stats.select(F.col("id").alias(id_col), *COUNTS, failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(verdict(rules)).alias("kept"))
+    kept = F.when(failed, F.lit(False)).otherwise(verdict(rules))
+    return stats.select(F.col("id").alias(id_col), *COUNTS[:5], failed.alias("base_failed"), kept.alias("kept"), *COUNTS[5:])
 

@@ -73,6 +73,22 @@ def test_held_out_accuracy(spark):
     assert good > 0.98 and bad > 0.85
 
 
+def test_verdict_is_the_learned_list(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = rules.decision_list(docs, labels)
+    assert out.columns == ["doc_id", *rules.COUNTS[:5], "base_failed", "kept", *rules.COUNTS[5:]]
+    table = out.toPandas()
+    learned = rules.fit_rules(rules.text_statistics(docs), labels)
+    assert learned
+    for r in table.to_dict("records"):
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert r["base_failed"] == failed
+        x = {f: eval(e, {}, r) if r["n_words"] else 0 for f, e in rules.FEATURES.items()}  # noqa: S307
+        rejected = any(all(x[f] >= at if above else x[f] <= at for f, above, at in rule.conditions) for rule in learned)
+        assert r["kept"] == (not failed and not rejected)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
