@@ -1,30 +1,34 @@
 """Substring dedup by column-wise construction of a collection's Burrows-Wheeler transform.
 
-``ColumnBwt`` builds the transform and the common prefixes of many strings at once, from their last
-column to their first: each round puts one symbol of every string before its suffix, ranks the
-new suffixes from the ranks of the old ones by a stable sort, and updates the common prefixes of
-neighbours by range minima.  The columns are read from, and the transform is written to, files
-that are passed through in order; memory holds one column, one order and one array of prefixes.
+``Collection`` builds the transform and the common prefixes of many strings at once, from their last
+column to their first.  Each round inserts one symbol of every string: the symbol goes to where the
+string's last suffix lies in the transform, the rank of it among its like tells where the new,
+longer suffix belongs, and the transform and the prefixes are written anew in one pass from the old
+ones, with the new suffixes in between.  The prefix of a new suffix and a neighbour that begins with the
+same symbol is that symbol and the least prefix on the way between the two old places.
 
 To find what repeats in a corpus, its texts are first cut into strings that can be compared
 column by column.  Every window of ``length`` bytes has an *anchor*: of the 16-byte grams that
 start in its first half, the leftmost with the least hash.  The anchor depends on the window's
 bytes alone, so equal windows have it at the same offset, and windows of one anchor are
 neighbours.  An anchor's string reaches from its first window's start to its last window's end, in
-columns relative to the anchor; equal windows then are equal runs of the same columns.  Strings
-meet in the *bucket* of the bytes that all windows of the anchor share, more than half of
-``length`` after it.  Buckets of one occurrence have nothing to compare; equal strings of a bucket
-are one string with a weight.  A window repeats if its string has weight or its suffix has a common
-prefix of at least ``length`` with a neighbour in its column's order.
-
-Buckets with more than ``HOT`` different strings are not gathered: their windows are counted by
-hash in a distributed aggregation, which gives the same verdicts.
+columns relative to the anchor; equal windows then begin in the same column.  All windows of
+an anchor share the bytes after it, more than half of ``length``: they are the string's *core*, one
+symbol of the transform, which is named by their hash.  Strings of one core are a *bucket*, and equal
+strings of a bucket are one string with a weight.  Buckets of one occurrence have nothing to compare.
+A collection is built of whole buckets; a window repeats if its string has weight or its suffix
+shares ``length`` bytes with a neighbour in the transform, when its round has been inserted.
+
+Buckets are split by the offsets of the windows: windows of near offsets share more bytes beside the
+anchor, which become part of the core and so of the bucket's name, and the strings get shorter.  Every
+bucket is split once where its collection is built, which makes rounds few and transforms small; a bucket
+with more than ``BUCKET`` different strings is first split into buckets of the whole corpus, again and again until
+they are small enough; at a single offset equal windows are equal strings.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,75 +40,109 @@ from lumenlink.llm import kernels as K
 from lumenlink.llm.near import _complete_groups
 from lumenlink.llm.store import keep
 
-GRAM, HOT = 16, 4096
-#: Strings that one collection in a task holds, unless one bucket has more.
-COLLECTION = 8192
+GRAM = 16
+#: Strings that a collection holds, unless its last bucket has more; different strings of a bucket; parts that a larger one is split into.
+COLLECTION, BUCKET, SPLIT = 1024, 2048, 8
 _CHUNK = 1 << 22
 U = np.uint64
 
 
-class ColumnBwt:
-    """The transform of strings in groups, one column a round from the right.
+class Collection:
+    """The transform of ``count`` strings, in which every round inserts the next symbol to the left of some of them.
 
-    ``columns`` yields, from the last column on, the symbol of each string, or -1 where it has none.
-    ``round`` inserts the next one and leaves ``order`` (strings by group and suffix), ``prefix``
-    (common prefix of each suffix with the one before it in its group) and, in the file ``bwt``, the
-    symbols that the round has inserted, in the order of the suffixes that they precede.
+    ``bwt`` holds, in the order of the suffixes, the symbol before each, and 0 where none has come yet;
+    ``prefix[k]`` the common prefix of suffixes k - 1 and k in bytes; ``at`` where each string's longest
+    suffix lies.  Both are read and written front to back once a round, as files would be; a
+    collection has a bounded size, so they are kept in memory.  Symbols are 1 to ``core`` - 1; cores are the largest.
     """
 
-    def __init__(self, groups: np.ndarray):
-        self.groups = groups.astype(np.int64) * 512
-        self.order = np.argsort(groups, kind="stable")
-        self.prefix = np.zeros(len(groups) + 1, dtype=np.int32)
-        self.bwt = tempfile.TemporaryFile()
-
-    def round(self, symbols: np.ndarray) -> None:
-        got = symbols[self.order]
-        self.bwt.write(got.astype(np.int16).tobytes())
-        key = self.groups[self.order] + got
-        moved = np.argsort(key, kind="stable") if (key[1:] < key[:-1]).any() else np.arange(len(key))
-        key = key[moved]
-        # The least common prefix between two old ranks is that of the suffixes that follow the new symbols.
-        bounds = np.empty(2 * max(0, len(moved) - 1), dtype=np.int64)
-        bounds[::2], bounds[1::2] = moved[:-1] + 1, moved[1:] + 1
-        least = np.minimum.reduceat(self.prefix, bounds)[::2] if len(bounds) else np.zeros(0, dtype=np.int32)
-        prefix = np.zeros(len(moved) + 1, dtype=np.int32)
-        same = (key[1:] == key[:-1]) & (got[moved][1:] >= 0)
-        prefix[1:-1] = np.where(same, least + 1, 0)
-        self.order, self.prefix = self.order[moved], prefix
-
-
-class ColumnFile:
-    """Columns of strings placed relative to an anchor, in a file from the last column to the first."""
-
-    def __init__(self, strings: list[bytes], before: np.ndarray, first: int, last: int):
-        self.count, self.first, self.last = len(strings), first, last
-        self.file = tempfile.TemporaryFile()
-        table = np.full((len(strings), last - first), -1, dtype=np.int16)
-        for k, (s, b) in enumerate(zip(strings, before, strict=True)):
-            at = -int(b) - first
-            table[k, at : at + len(s)] = np.frombuffer(s, dtype=np.uint8)
-        self.file.write(np.ascontiguousarray(table.T[::-1]).tobytes())
-
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
-        self.file.seek(0)
-        for column in range(self.last - 1, self.first - 1, -1):
-            yield column, np.frombuffer(self.file.read(2 * self.count), dtype=np.int16)
-
-
-def repeated_windows(groups: np.ndarray, strings: list[bytes], before: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each string the largest and the least offset, lo >= offset >= hi bytes before the anchor, of a window that repeats; -1 for none."""
-    most, least = np.full(len(strings), -1), np.full(len(strings), -1)
-    bwt = ColumnBwt(groups)
-    for column, symbols in ColumnFile(strings, before, -int(lo.max()), length - int(hi.min())):
-        bwt.round(symbols)
-        if column <= 0:
-            offset = -column
-            order = bwt.order
-            twice = (bwt.prefix[:-1] >= length) | (bwt.prefix[1:] >= length) | (weight[order] > 1)
-            found = order[twice & (lo[order] >= offset) & (hi[order] <= offset)]
-            most[found] = offset
-            least[found] = np.where(least[found] < 0, offset, least[found])
+    def __init__(self, count: int, wide: bool = False):
+        self.count = count
+        self.kind, self.core = (np.uint16, 1 << 15) if wide else (np.uint8, 255)
+        self.bwt = np.zeros(count, dtype=self.kind)
+        self.prefix = np.zeros(count + 1, dtype=np.int16)
+        self.at = np.arange(count)
+
+    def round(self, rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Insert a symbol of each of ``rows`` -> the rows in the order of their new suffixes, and the larger common prefix of each with a neighbour."""
+        at = self.at[rows]
+        self.bwt[at] = symbols
+        # Old places by their symbols: the k-th is followed, in the new transform, by ``count`` + k.
+        order = np.argsort(self.bwt, kind="stable")[len(self.bwt) - np.count_nonzero(self.bwt) :]
+        new = np.zeros(len(self.bwt), dtype=bool)
+        new[at] = True
+        rank = np.flatnonzero(new[order])
+        owner = np.empty(len(self.bwt), dtype=np.int32)
+        owner[at] = rows
+        old = order[rank]
+        first, final = np.maximum(rank - 1, 0), np.minimum(rank + 1, len(order) - 1)
+        before = (rank > 0) & (self.bwt[order[first]] == self.bwt[old])
+        after = (rank < len(order) - 1) & (self.bwt[order[final]] == self.bwt[old])
+        return self._insert(owner[old], rank, old, (before, order[first]), (after, order[final]), np.ones(len(rank), dtype=np.int16))
+
+    def cores(self, rows: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``round``, for the cores of all rows at once: core ``group[k]`` of ``size[k]`` bytes."""
+        at = self.at[rows]
+        self.bwt[at] = self.core
+        order = np.lexsort((at, group))
+        old, group = at[order], group[order]
+        same = group[1:] == group[:-1]
+        before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
+        rank = np.count_nonzero(self.bwt) - len(rows) + np.arange(len(rows))
+        return self._insert(rows[order], rank, old, (before, np.roll(old, 1)), (after, np.roll(old, -1)), size[order].astype(np.int16))
+
+    def _insert(self, rows, rank, old, before, after, size) -> tuple[np.ndarray, np.ndarray]:
+        some_before, some_after = (np.flatnonzero(x[0]) for x in (before, after))
+        start = np.concatenate([before[1][some_before], old[some_after]]) + 1
+        end = np.concatenate([old[some_before], after[1][some_after]]) + 1
+        least = np.zeros(len(start), dtype=np.int16)
+        if len(start):
+            by = np.argsort(start, kind="stable")  # so that what lies between two ranges is passed once
+            bounds = np.empty(2 * len(start), dtype=np.int64)
+            bounds[::2], bounds[1::2] = start[by], end[by]
+            least[by] = np.minimum.reduceat(self.prefix, bounds)[::2]
+        left, right = np.zeros(len(rows), dtype=np.int16), np.zeros(len(rows), dtype=np.int16)
+        left[some_before] = least[: len(some_before)] + size[some_before]
+        right[some_after] = least[len(some_before) :] + size[some_after]
+        place = self.count + rank
+        stays = np.ones(len(self.bwt) + len(rows), dtype=bool)
+        stays[place] = False
+        bwt, prefix = np.zeros(len(stays), dtype=self.kind), np.zeros(len(stays) + 1, dtype=np.int16)
+        bwt[stays], prefix[:-1][stays] = self.bwt, self.prefix[:-1]
+        prefix[place], prefix[place + 1] = left, right
+        prefix[place] = left  # a new suffix after another one
+        self.bwt, self.prefix, self.at[rows] = bwt, prefix, place
+        return rows, np.maximum(left, right)
+
+
+def columns(parts: list[bytes], flush_right: bool) -> np.ndarray:
+    """Strings as rows of a table of symbols, a byte's being 1 more than it; what a shorter one has not is 0."""
+    size = np.array([len(p) for p in parts], dtype=np.int64)
+    width = int(size.max(initial=0))
+    table = np.zeros((len(parts), width), dtype=np.uint16)
+    row = np.repeat(np.arange(len(parts)), size)
+    place = K._ranges(width - size if flush_right else np.zeros(len(parts), dtype=np.int64), size)
+    table[row, place] = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint16) + 1
+    return table
+
+
+def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], width: np.ndarray, hi: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string the largest and the least offset, len(left) >= offset >= hi bytes before its core, of a window that repeats; -1 for none."""
+    lo = np.array([len(x) for x in left], dtype=np.int64)
+    most, least = np.where(weight > 1, lo, -1), np.where(weight > 1, hi, -1)
+    heads, tails = columns(left, True), columns(right, False)
+    bwt = Collection(len(left), bool(max(heads.max(initial=0), tails.max(initial=0)) >= 255))
+    for k in range(tails.shape[1] - 1, -1, -1):
+        rows = np.flatnonzero(tails[:, k])
+        bwt.round(rows, tails[rows, k])
+    rows, shared = bwt.cores(np.arange(len(left)), group, length - width + 1)
+    for offset in range(heads.shape[1] + 1):
+        if offset:
+            rows = np.flatnonzero(heads[:, -offset])
+            rows, shared = bwt.round(rows, heads[rows, -offset])
+        found = rows[(shared >= length) & (lo[rows] >= offset) & (hi[rows] <= offset)]
+        most[found] = np.maximum(most[found], offset)
+        least[found] = np.where(least[found] < 0, offset, np.minimum(least[found], offset))
     return most, least
 
 
@@ -174,32 +212,72 @@ def _sites(length: int) -> Callable:
 SITE = "row long, key long, string long, pos long, more long, weight long"
 
 
+def repeated_in_buckets(group: np.ndarray, left: list[bytes], right: list[bytes], width: np.ndarray, hi: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``repeated_windows``, with one collection for every COLLECTION or so of the strings' parts."""
+    cores: dict[tuple, int] = {}
+    kinds: dict[tuple, int] = {}
+    made: list[tuple] = []  # (group, width, hi, left, right) of each kind
+    of, which, shift = [], [], []
+    for k, (g, w, h, x, y) in enumerate(zip(group.tolist(), width.tolist(), hi.tolist(), left, right, strict=True)):
+        for a, wide, least, core, head, tail in parts_of(w, h, x, y):
+            c = cores.setdefault((g, a, core), len(cores))
+            kind = kinds.setdefault((c, least, head, tail), len(made))
+            if kind == len(made):
+                made.append((c, wide, least, head, tail))
+            of.append(k)
+            which.append(kind)
+            shift.append(a)
+    of, which, shift = (np.array(x, dtype=np.int64) for x in (of, which, shift))
+    weights = np.bincount(which, weights=weight[of], minlength=len(made)).astype(np.int64)
+    core = np.array([m[0] for m in made], dtype=np.int64)
+    start = np.array([m[2] for m in made], dtype=np.int64)
+    most = np.where(weights > 1, [len(m[3]) for m in made], -1)
+    least = np.where(weights > 1, start, -1)
+    order = np.argsort(core, kind="stable")
+    order = order[np.bincount(core)[core[order]] > 1]
+    for part in _parts(core[order]):
+        r = order[part]
+        _, c = np.unique(core[r], return_inverse=True)
+        most[r], least[r] = repeated_windows(c, [made[k][3] for k in r], [made[k][4] for k in r], np.array([made[k][1] for k in r], dtype=np.int64), start[r], weights[r], length)
+    top, bottom = np.full(len(group), -1), np.full(len(group), 1 << 40)
+    got = most[which] >= 0
+    np.maximum.at(top, of[got], (shift + most[which])[got])
+    np.minimum.at(bottom, of[got], (shift + least[which])[got])
+    return top, np.where(top < 0, -1, bottom)
+
+
+STRING = "key long, string long, weight long, width long, hi long, left binary, right binary"
+_STRING = (pa.int64(),) * 5 + (pa.binary(),) * 2
+_NAMES = ["key", "string", "weight", "width", "hi", "left", "right"]
+
+
+def _batch(rows: list[tuple], kinds, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
 def _strings(length: int) -> Callable:
-    """Rows (text, wanted strings of it) -> (key, string, weight, lo, hi, bytes)."""
+    """Rows (text, wanted strings of it) -> (key, string, weight, width, hi, left and right of the core)."""
 
     def run(batches):
         for batch in batches:
             wanted = batch.column(1).to_pylist()
             for i, _, buf, offs in K.blocks(batch.column(0)):
                 s = Sites(buf, offs, length)
-                names, bounds = s.string.view(np.int64), np.searchsorted(s.doc, np.arange(len(offs)))
+                names, keys = s.string.view(np.int64), s.key.view(np.int64)
+                bounds, after = np.searchsorted(s.doc, np.arange(len(offs))), s.place + (length - s.width + 1)
                 out = []
                 for d in range(len(offs) - 1):
                     ask = {w["string"]: w["weight"] for w in wanted[i + d]}
                     for k in range(bounds[d], bounds[d + 1]):
                         weight = ask.pop(int(names[k]), None)
                         if weight is not None:
-                            out.append((int(s.key.view(np.int64)[k]), int(names[k]), weight, int(s.lo[k]), int(s.hi[k]), buf[s.begin[k] : s.end[k]].tobytes()))
+                            out.append((int(keys[k]), int(names[k]), weight, s.width, int(s.hi[k]), buf[s.begin[k] : s.place[k]].tobytes(), buf[after[k] : s.end[k]].tobytes()))
                 if out:
-                    kinds = (pa.int64(),) * 5 + (pa.binary(),)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "string", "weight", "lo", "hi", "bytes"])
+                    yield _batch(out, _STRING, _NAMES)
 
     return run
 
 
-STRING = "key long, string long, weight long, lo long, hi long, bytes binary"
-
-
 def _judge(length: int) -> Callable:
     """Strings sorted by key, whole buckets together -> (key, string, most, least) of those with a window that repeats."""
 
@@ -216,23 +294,35 @@ def _judge(length: int) -> Callable:
             yield from judged(pa.concat_tables(held))
 
     def judged(table):
-        key, string, weight, lo, hi = (table.column(c).to_numpy() for c in ("key", "string", "weight", "lo", "hi"))
+        # A text that is there twice has sent its strings twice.
+        key, string = (table.column(c).to_numpy() for c in _NAMES[:2])
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (string[1:] != string[:-1])
+        table = table.filter(pa.array(new))
+        key, string, weight, width, hi = (table.column(c).to_numpy() for c in _NAMES[:5])
+        left, right = table.column("left"), table.column("right")
         alone = np.ones(len(key), dtype=bool)
         alone[1:] &= key[1:] != key[:-1]
         alone[:-1] &= key[1:] != key[:-1]
-        rows = np.flatnonzero(~alone | (weight > 1))
-        data = table.column("bytes")
+        # A string without another one of its bucket repeats as a whole or not at all.
+        whole = np.flatnonzero(alone & (weight > 1))
+        if len(whole):
+            yield pa.RecordBatch.from_arrays([pa.array(key[whole]), pa.array(string[whole]), pa.array([len(left[int(k)].as_py()) for k in whole], pa.int64()), pa.array(hi[whole])], names=VERDICT_NAMES)
+        rows = np.flatnonzero(~alone)
         for part in _parts(key[rows]):
             r = rows[part]
             group = np.cumsum(np.concatenate([[0], (key[r][1:] != key[r][:-1]).astype(np.int64)]))
-            most, least = repeated_windows(group, [data[int(k)].as_py() for k in r], lo[r], lo[r], hi[r], weight[r], length)
+            most, least = repeated_in_buckets(group, *([c[int(k)].as_py() for k in r] for c in (left, right)), width[r], hi[r], weight[r], length)
             got = most >= 0
             if got.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[got]) for x in (key[r], string[r], most, least)], names=["key", "string", "most", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[got]) for x in (key[r], string[r], most, least)], names=VERDICT_NAMES)
 
     return run
 
 
+VERDICT, VERDICT_NAMES = "key long, string long, most long, least long", ["key", "string", "most", "least"]
+
+
 def _parts(key: np.ndarray) -> Iterator[np.ndarray]:
     """Rows in runs of about COLLECTION that keep equal keys together."""
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
@@ -246,23 +336,26 @@ def _parts(key: np.ndarray) -> Iterator[np.ndarray]:
         a = b
 
 
-def _windows(length: int) -> Callable:
-    """Strings of hot buckets -> their windows (window, key, string, weight, offset)."""
+def parts_of(width: int, hi: int, left: bytes, right: bytes) -> Iterator[tuple[int, int, int, bytes, bytes, bytes]]:
+    """The parts of a string whose windows lie 0 to ``width`` - 1 bytes before its core: (first offset, width, hi, bytes that join the core, left, right)."""
+    step = -(-width // SPLIT)
+    for a in range(0, width, step):
+        b = min(width, a + step)  # windows at offsets a to b - 1
+        if hi < b and len(left) >= a:
+            lo, least, grown = min(len(left), b - 1), max(hi, a) - a, width - b
+            yield a, b - a, least, left[len(left) - a :] + right[:grown], left[len(left) - lo : len(left) - a], right[grown : width - 1 - a - least]
 
-    def run(batches):
-        for batch in batches:
-            key, string, weight, lo, hi = (batch.column(k).to_numpy() for k in range(5))
-            buf, offs = K.strings(batch.column(5))
-            for a in range(0, batch.num_rows, 512):
-                b = min(batch.num_rows, a + 512)
-                part, at = buf[offs[a] : offs[b]], offs[a:b] - offs[a]
-                roll, each = K.Rolling(part), lo[a:b] - hi[a:b] + 1
-                row = np.repeat(np.arange(b - a), each)
-                shift = K._ranges(np.zeros(b - a, dtype=np.int64), each)
-                window = roll.of(at[row] + shift, at[row] + shift + length)
-                yield pa.RecordBatch.from_arrays([K.signed(window), *(pa.array(x[a:b][row]) for x in (key, string, weight)), pa.array(lo[a:b][row] - shift)], names=["window", "key", "string", "weight", "offset"])
 
-    return run
+def _split(batches):
+    """Strings of large buckets -> those of their parts, with the string that each is of and the first offset of the part."""
+    for batch in batches:
+        out = []
+        for key, string, weight, width, hi, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, w, least, core, head, tail in parts_of(width, hi, left, right):
+                name = lambda *x: int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "big", signed=True)
+                out.append((name(key, a, core), name(least, head, tail), weight, w, least, head, tail, key, string, a))
+        if out:
+            yield _batch(out, _STRING + (pa.int64(),) * 3, [*_NAMES, "of_key", "of_string", "first"])
 
 
 def _cut(length: int) -> Callable:
@@ -291,6 +384,21 @@ def _cut(length: int) -> Callable:
     return run
 
 
+def _verdicts(strings: DataFrame, length: int) -> DataFrame:
+    """Strings (STRING), some perhaps twice -> (key, string, most, least); buckets above BUCKET are split until there are none."""
+    large = keep(strings.groupBy("key").count().where(F.col("count") > BUCKET).select("key"), "large")
+    is_large = not large.isEmpty()
+    calm = strings.join(large, "key", "left_anti") if is_large else strings
+    out = calm.repartition("key").sortWithinPartitions("key", "string").mapInArrow(_judge(length), VERDICT)
+    if is_large:
+        parts = keep(strings.join(large, "key", "left_semi").dropDuplicates(["key", "string"]).mapInArrow(_split, f"{STRING}, of_key long, of_string long, first long"), "parts")
+        whole = parts.groupBy("key", "string").agg(F.sum("weight").alias("weight"), *(F.min(c).alias(c) for c in _NAMES[3:]))
+        inner = keep(_verdicts(keep(whole.select(_NAMES), "strings"), length), "verdicts")
+        back = parts.select("key", "string", "of_key", "of_string", "first").join(inner, ["key", "string"])
+        out = out.unionByName(back.groupBy(F.col("of_key").alias("key"), F.col("of_string").alias("string")).agg(F.max(F.col("first") + F.col("most")).alias("most"), F.min(F.col("first") + F.col("least")).alias("least")))
+    return out
+
+
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """Rows (row, text), row naming the text -> (row, start, end): spans that cover exactly the bytes of repeated windows."""
     if not 2 * GRAM <= length < 4096:
@@ -301,49 +409,26 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     strings = keep(shared.groupBy("key", "string").agg(F.sum("weight").alias("weight"), F.min("row").alias("row")), "strings")
     asked = strings.groupBy("row").agg(F.collect_list(F.struct("string", "weight")).alias("wanted"))
     texts = rows.join(asked, "row").select("text", "wanted")
-    found = keep(texts.mapInArrow(_strings(length), STRING), "texts")
-    sizes = strings.groupBy("key").count()
-    hot = keep(sizes.where(F.col("count") > HOT).select("key"), "hot")
-    is_hot = not hot.isEmpty()
-    # A row named twice (equal texts) has sent its strings twice.
-    calm = found.join(hot, "key", "left_anti") if is_hot else found
-    calm = calm.repartition("key").sortWithinPartitions("key", "string")
-    verdicts = calm.mapInArrow(_once, STRING).mapInArrow(_judge(length), "key long, string long, most long, least long")
-    if is_hot:
-        windows = found.join(hot, "key", "left_semi").dropDuplicates(["key", "string"]).mapInArrow(_windows(length), "window long, key long, string long, weight long, offset long")
-        twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
-        verdicts = verdicts.unionByName(windows.join(twice, "window", "left_semi").groupBy("key", "string").agg(F.max("offset").alias("most"), F.min("offset").alias("least")))
+    verdicts = _verdicts(keep(texts.mapInArrow(_strings(length), STRING), "texts"), length)
     hits = shared.join(keep(verdicts, "verdicts"), ["key", "string"])
     place = F.shiftright("pos", 24)
     return hits.select("row", (place - F.col("most")).alias("start"), (place + F.col("more") - F.col("least") + length).alias("end"))
 
 
-def _once(batches):
-    """Rows sorted by key and string without repetitions."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, string = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (string[1:] != string[:-1])
-        new[0] = (key[0], string[0]) != last
-        last = (key[-1], string[-1])
-        yield batch.filter(pa.array(new))
-
-
 def row_name(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs``: the id, n_bytes, n_removed, n_spans, kept_sha256, kept (nothing is removed).
 
     Texts are UTF-8 bytes (null: empty).  Every byte covered by a ``length``-byte string that also
     starts elsewhere - in another row or in the same one, overlaps included - is removed; all are
-    judged on the input.  Repeated rows repeat each other.  Shorter texts lose nothing.
+    judged on the input.  Repeated rows repeat each other.  Shorter texts lose nothing, and an empty
+    table gives none; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", row_name("id", "text"))
     spans = repeated_spans(rows.select("row", "text"), length).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kind = dict(docs.dtypes)[id_col]
-    return rows.join(spans, "row", "left").select("id", "text", "spans").mapInArrow(_cut(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    cut = rows.join(spans, "row", "left").select("id", "text", "spans").mapInArrow(_cut(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.withColumn("kept", F.col("n_removed") == 0).withColumnRenamed("id", id_col)
