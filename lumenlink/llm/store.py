@@ -61,12 +61,12 @@ def limit_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table to the shared folder, as Parquet with the writer's options, and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
     limit_batches(spark)
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

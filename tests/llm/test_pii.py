@@ -14,7 +14,8 @@ def test_detects_each_type_and_leaves_prose_alone():
     assert kinds(text) == [("Anna", "given"), ("Keller", "surname"), ("+1 (487) 555-7209", "phone"), ("est.22@mail2.example.com", "email"), ("97.51.17.173", "ip"), ("4111 1111 1111 1111", "card"), ("04dbebab91ab85687d33eeaaf9ac699e1188f962", "secret"), ("123-45-6789", "ssn"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("Keller", "surname")]
     for clean in ("", "In 2024 it cost 1,234.56 and 12.5%, v1.2.3.", "Thnt eringing onheed. The Maria", "RECHEUX EST DE RÉOUEN!! OIEAU", "Licensed under the Apache License, Version 2.0."):
         assert kinds(clean) == []
-    assert kinds("x 9807915762804490 y 4845168114407329.")[0] == ("9807915762804490", "card")
+    # No card: no issuer's digit, or a wrong check digit.
+    assert kinds("x 9807915762804490 y 4845168114407320.") == []
     assert kinds("on 4465758382889437 4465758382889437 +1 (487) 555-7209 4736962573099581 on") == [("4465758382889437", "card")] * 2 + [("+1 (487) 555-7209", "phone"), ("4736962573099581", "card")]
     assert [k for _, k in kinds("Г-жа Ольга Петрова и Иван Петров")] == ["given", "surname", "given", "surname"]
 
@@ -23,20 +24,21 @@ def test_very_long_texts_take_linear_time():
     import time
 
     began = time.time()
-    for text in ("x" * 400_000 + " a@b.example", "1 " * 200_000, "9" * 400_000 + "x", "token=" + "a" * 400_000, "Aa" * 200_000, "Anna " * 80_000, "+1 (212) 555-0100 " * 5_000):
+    distinct = "".join(f"Dr. Aa{k} Bb{k} came. " for k in range(20_000))
+    for text in (distinct, "1:2:3:" * 60_000, "a::b " * 60_000, "name: " * 60_000, "x" * 400_000 + " a@b.example", "1 " * 200_000, "9" * 400_000 + "x", "token=" + "a" * 400_000, "Aa" * 200_000, "Anna " * 80_000, "+1 (212) 555-0100 " * 5_000):
         pii.detect(text)
     assert time.time() - began < 20
 
 
 def test_surrogates_match_type_format_gender_and_script():
-    for kind, norm in (("phone", "+14875557209"), ("card", "4111111111111111"), ("card", "9807915762804490"), ("ip", "10.1.2.3"), ("ip", "97.51.17.173"), ("email", "est.22@mail2.example.com"), ("ssn", "123456789"), ("iban", "GB82WEST12345698765432"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")):
+    for kind, norm in (("phone", "+14875557209"), ("card", "4111111111111111"), ("card", "371449635398431"), ("ip", "10.1.2.3"), ("ip", "97.51.17.173"), ("email", "est.22@mail2.example.com"), ("ssn", "123456789"), ("iban", "GB82WEST12345698765432"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")):
         for attempt in range(5):
             new = pii.surrogate(KEY, kind, norm, attempt)
             assert new != norm and new == pii.surrogate(KEY, kind, norm, attempt)
-            if kind not in ("ip",):
+            if kind != "ip" and (attempt < 2 or kind not in ("email", "secret")):
                 assert len(new) == len(norm)
             if kind == "card":
-                assert (pii.luhn(new) == 0) == (pii.luhn(norm) == 0)
+                assert pii.luhn(new) == 0 and new[0] == norm[0]
             if kind == "iban":
                 assert pii._iban_rest(new) == 1
             if kind == "ip":
@@ -50,7 +52,7 @@ def test_surrogates_match_type_format_gender_and_script():
 
 
 def test_corpus_is_consistent_and_distinct(spark):
-    cards = [f"{4000000000000000 + 7919 * k}" for k in range(300)]
+    cards = [c + next(x for x in "0123456789" if pii.luhn(c + x) == 0) for c in (f"{400000000000000 + 7919 * k}" for k in range(300))]
     rows = [(k, f"a {cards[k]} b {cards[(k + 1) % 300]} c", "en", 5) for k in range(300)]
     rows += [(900, None, "x", 1), (901, "", "x", 1), (902, "nothing here", "x", 1), (903, "Mrs. Jane Holt and JANE, Holt and Mr. Holt. Call (212) 555-0100 or 212-555-0100", "x", 1)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, known long")
@@ -69,8 +71,8 @@ def test_corpus_is_consistent_and_distinct(spark):
     named = {r[1] for r in got if r[0] == 903}
     assert len(named) == 1
     text = named.pop()
-    m = re.fullmatch(r"Mrs\. (\w+) (\w+) and JANE, (\w+) and Mr\. (\w+)\. Call \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4})", text)
-    assert m and m[2] == m[3] == m[4] != "Holt" and m[1] in pii.GIVEN["latin", "f"] and m[1] != "Jane" and m.groups()[4:7] == m.groups()[7:]
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) and ([A-Z]+), (\w+) and Mr\. (\w+)\. Call \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4})", text)
+    assert m and m[2] == m[4] == m[5] != "Holt" and m[1] in pii.GIVEN["latin", "f"] and m[1] != "Jane" and m[1].upper() == m[3] and m.groups()[5:8] == m.groups()[8:]
 
 
 def test_collisions_are_drawn_anew(spark):
@@ -87,9 +89,11 @@ def test_no_known_entity_survives(spark):
     assert before.keys() == after.keys()
     touched = 0
     for d, text in before.items():
-        for m in re.finditer(r"[\w.+-]+@[\w.-]+\w|\+1 \(\d{3}\) 555-\d{4}|(?<!\d)\d{16}(?!\d)|\b\d+\.\d+\.\d+\.\d+\b|\b[0-9a-f]{40}\b", text):
+        for m in re.finditer(r"[\w.+-]+@[\w.-]+\w|\+1 \(\d{3}\) 555-\d{4}|\b\d+\.\d+\.\d+\.\d+\b|\b[0-9a-f]{40}\b", text):
             assert m[0] not in after[d]
             touched += 1
+        for m in re.finditer(r"(?<!\d)\d{16}(?!\d)", text):
+            assert (m[0] not in after[d]) == (m[0][0] in "23456" and pii.luhn(m[0]) == 0)
         if not re.search(r"\d", text):
             assert after[d] == text, (text, after[d])
     assert touched > 20
@@ -97,3 +101,64 @@ def test_no_known_entity_survives(spark):
 
 def test_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "text string, id int")).collect() == []
+
+
+def test_one_entity_in_many_spellings(spark):
+    phones = ["+1 (212) 555-0100", "(212) 555-0100", "1-212-555-0100", "212.555.0100"]
+    assert {n for t in phones for *_, n in pii.detect(f"call {t} now")} == {"2125550100"}
+    six = ["2001:0db8:0000:0000:0000:0000:0000:0001", "2001:db8:0:0:0:0:0:1", "2001:db8::1", "2001:DB8::1"]
+    assert {n for t in six for *_, n in pii.detect(f"from {t} to")} == {six[0]}
+    for clean in ("std::vector and a::b", "at 12:30:45", "1:2:3:4:5:6:7:8:9", "::", "x :: y"):
+        assert pii.detect(clean) == []
+    text = " | ".join([*phones, *six])
+    out = pii.pseudonymise(spark.createDataFrame([(text,)], "text string"), key=KEY).first()
+    assert out.n_entities == 8
+    new = out.text.split(" | ")
+    assert len({re.sub(r"\D", "", x)[-10:] for x in new[:4]}) == 1 and [re.sub(r"\d", "0", x) for x in new[:4]] == [re.sub(r"\d", "0", x) for x in phones]
+    import ipaddress
+
+    assert len({ipaddress.IPv6Address(x) for x in new[4:]}) == 1 and new[4] != six[0]
+    assert len(new[4]) == 39 and "::" in new[6] and new[7].upper() == new[7] and not set(new) & set(text.split(" | "))
+
+
+def test_names_by_title_phrase_and_address_and_their_later_mentions(spark):
+    text = "Dr. Kwame Nkrumah met Anna Keller's aunt. Mr SMITH and Smith wrote. NKRUMAH left; Kwame and Anna stayed. My name is Adaeze Okafor. Write to Bao Tran <b.t@mail.example.org>; Tran answers. The Berlin Wall."
+    named = {(text[s:e].casefold(), k) for s, e, k, _ in pii.detect(text) if k != "email"}
+    assert named == {("kwame", "forename"), ("nkrumah", "surname"), ("anna", "given"), ("keller", "surname"), ("smith", "surname"), ("adaeze", "forename"), ("okafor", "surname"), ("bao", "forename"), ("tran", "surname")}
+    out = pii.pseudonymise(spark.createDataFrame([(text,)], "text string"), key=KEY).first().text
+    assert not re.search(r"(?i)kwame|nkrumah|anna|keller|smith|adaeze|okafor|bao|tran", out) and "The Berlin Wall." in out
+    m = re.search(r"Dr\. (\w+) (\w+) met (\w+) (\w+)'s aunt\. Mr ([A-Z]+) and (\w+) wrote\. ([A-Z]+) left; (\w+) and (\w+) stayed", out)
+    assert m and m[2].upper() == m[7] and m[1] == m[8] and m[3] == m[9] and m[5] == m[6].upper() and m[3] in pii.GIVEN["latin", "f"]
+
+
+def test_recall_of_unlisted_names():
+    """Names that no list has, in six settings: found where a title, a phrase or an address shows them, not in bare prose."""
+    import random
+
+    r = random.Random(2)
+    made = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(3)).capitalize()
+    settings = ["We met Dr. {} {} there.", "we saw Mrs {} {} again.", "my name is {} {}.", "Name: {} {}", "ask {} {} <x@mail.example>", "then {} {} left."]
+    found = []
+    for setting in settings:
+        hits = 0
+        for _ in range(200):
+            a, b = made(), made()
+            hits += {k for _, _, k, _ in pii.detect(setting.format(a, b))} >= {"forename", "surname"} or a.casefold() in pii._GENDER
+        found.append(hits / 200)
+    assert min(found[:5]) >= 0.99 and found[5] <= 0.02
+
+
+def test_short_spaces_end(spark):
+    """More one-letter addresses at a reserved domain than letters are left, and a type with as few values as entities."""
+    rows = [(f"{c}@shop.example",) for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "text string"), key=KEY).collect()
+    new = {r.text for r in got}
+    assert len(new) == 26 and not new & {t for t, in rows} and all(x.endswith("@shop.example") for x in new)
+    few = spark.createDataFrame([("t", str(k)) for k in range(5)], "kind string, norm string")
+    rule = lambda key, kind, norm, attempt: str((int(norm) + 1 + attempt) % 5)
+    found = {r.norm: r.new for r in pii.assign(few, KEY, rule).collect()}
+    assert len(set(found.values())) == 5 and all(a != b for a, b in found.items())
+    import pytest
+
+    with pytest.raises(ValueError, match="no surrogates"):
+        pii.assign(few, KEY, lambda key, kind, norm, attempt: str(int(norm) % 2 + 7))
