@@ -7,10 +7,10 @@ distance to Hamming distance: the walk repeats or passes a word by a shared rand
 of positions of the embedding are the LSH keys; windows and items that share a key are
 candidates, and each candidate is verified by its exact word edit distance.
 
-*Which windows.*  A window within ``e`` edits of an item of ``n`` words keeps one of ``e + 1``
-runs of the item untouched, so it shares a run of at least ceil((n - e) / (e + 1)) words with it.
-Only starts that such a shared run proposes, moved by up to e words either way, are embedded;
-this loses nothing that the threshold admits.
+*Which windows.*  A window within ``e`` edits of an item of ``n`` words keeps one of ``e + 1`` equal
+pieces of the item untouched.  Only starts that the first words of such a piece propose, moved by up to e
+words either way, are embedded; this loses nothing that the threshold admits.  A piece proposes each
+start and length once, however many items hold it there.
 
 *Recall.*  ``REPEATS`` samples of ``SAMPLED`` positions are taken.  A window that differs from the
 item by d edits has an embedding that differs in few positions; with d = 0 all keys agree.  The
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from lumenlink.llm import kernels as K
 from lumenlink.llm.store import limit_batches
 
-#: Benchmark items that one pass over the documents handles at most; more go in further passes.
-BLOCK_ITEMS = 20_000
+#: Benchmark items, and words of them, that one pass over the documents handles at most; more go in further passes.
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1 << 21
 #: Longest run of words by which windows are proposed.
 RUN = 4
-WALK, REPEATS, SAMPLED = 3, 32, 6
-#: Windows embedded at once.
-ROWS = 2048
+WALK, REPEATS, SAMPLED = 3, 48, 5
+#: Windows, and words of them, embedded at once; proposals held at once.
+ROWS, WORDS, PROPOSED = 2048, 1 << 16, 1 << 18
 U = np.uint64
 
 
@@ -103,83 +103,93 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(row[-1])
 
 
+def _chunks(n: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of rows of n words, shortest first, in chunks of at most ROWS rows and WORDS words when filled up to the longest, or one row."""
+    order = np.argsort(n, kind="stable")
+    a = 0
+    while a < len(order):
+        b = min(len(order), a + ROWS)
+        while b > a + 1 and int(n[order[b - 1]]) * (b - a) > WORDS:
+            b = a + max(1, min(b - a - 1, WORDS // int(n[order[b - 1]])))
+        yield order[a:b]
+        a = b
+
+
 class Items:
-    """A block of benchmark items, indexed by the runs and the LSH keys of each length."""
+    """A block of benchmark items, indexed by the first words of their pieces and by the LSH keys of each."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray], similarity: float, seed: int):
         self.ids, self.words, self.similarity, self.seed = ids, words, similarity, seed
-        runs: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
-        for i, w in enumerate(words):
-            q = run_length(len(w), similarity)
-            g = K.grams(w, q)
-            runs[q][0].append(g)
-            runs[q][1].append(np.full(len(g), i))
-            runs[q][2].append(np.arange(len(g)))
-        self.runs = {}
-        for q, (g, i, at) in runs.items():
-            g, i, at = map(np.concatenate, (g, i, at))
-            order = np.argsort(g, kind="stable")
-            self.runs[q] = (g[order], i[order], at[order])
         self.length = np.array([len(w) for w in words])
         self.most = np.array([allowed(len(w), similarity) for w in words])
-        rows = np.zeros((len(words), int(self.length.max())), dtype=np.uint64)
-        for i, w in enumerate(words):
-            rows[i, : len(w)] = w
-        keys = np.concatenate([lsh_keys(rows[a : a + ROWS], self.length[a : a + ROWS], seed) for a in range(0, len(words), ROWS)]).ravel()
+        runs: dict[int, list[np.ndarray]] = defaultdict(list)
+        for w, n, e in zip(words, self.length.tolist(), self.most.tolist(), strict=True):
+            q = run_length(n, similarity)
+            at = np.arange(e + 1) * n // (e + 1)
+            runs[q].append(np.stack([K.grams(w, q)[at], np.full(e + 1, n, dtype=np.uint64), at.astype(np.uint64)]))
+        #: For each length of runs: its hashes in order, and the length of the item and the place in it of each.
+        self.runs = {}
+        for q, parts in runs.items():
+            g, n, at = np.unique(np.concatenate(parts, axis=1), axis=1)
+            self.runs[q] = (g, n.astype(np.int64), at.astype(np.int64))
+        keys, owner = [], []
+        for part in _chunks(self.length):
+            rows = np.zeros((len(part), int(self.length[part].max())), dtype=np.uint64)
+            for k, i in enumerate(part):
+                rows[k, : len(words[i])] = words[i]
+            keys.append(lsh_keys(rows, self.length[part], seed).ravel())
+            owner.append(np.repeat(part, REPEATS))
+        keys, owner = np.concatenate(keys), np.concatenate(owner)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], np.repeat(np.arange(len(words)), REPEATS)[order]
+        self.keys, self.owner = keys[order], owner[order]
 
-    def proposals(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(start, item) where a run of the words is a run of the item; start is where the item would begin."""
-        for q, (g, item, at) in self.runs.items():
+    def proposals(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, words, document) of windows in which a piece of an item of as many words begins as in the item; about PROPOSED at a time."""
+        for q, (g, n, at) in self.runs.items():
             if len(h) < q:
                 continue
             mine = K.grams(h, q)
-            small = _member(mine, g)
-            small &= doc[: len(mine)] == doc[q - 1 :]
-            hit = np.flatnonzero(small)
+            hit = np.flatnonzero(_member(mine, g) & (doc[: len(mine)] == doc[q - 1 :]))
             lo, hi = np.searchsorted(g, mine[hit]), np.searchsorted(g, mine[hit], side="right")
-            each = hi - lo
-            rows = K._ranges(lo, each)
-            yield np.repeat(hit, each) - at[rows], item[rows]
+            total = np.cumsum(hi - lo)
+            a = 0
+            while a < len(hit):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PROPOSED, side="right")))
+                each = (hi - lo)[a:b]
+                rows = K._ranges(lo[a:b], each)
+                run = np.repeat(hit[a:b], each)
+                yield run - at[rows], n[rows], doc[run]
+                a = b
 
     def find(self, h: np.ndarray, doc: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, first word, edits): the best window for each document and item."""
-        start, item, home = [], [], []
-        for s, i in self.proposals(h, doc):
-            start.append(s)
-            item.append(i)
-        if not start:
-            return
-        start, item = np.concatenate(start), np.concatenate(item)
-        if not len(start):
-            return
-        # The document of a proposal is that of its run, which the start may precede by a few words.
-        home = doc[np.clip(start + self.length[item] // 2, 0, len(h) - 1)]
-        start, item, home = np.unique(np.stack([start, item, home]), axis=1)
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        self._check(start, item, home, h, offs, found)
-        # A document and item found without an edit need no other window.
-        left = np.array([found.get((int(d), int(i)), (1, 0))[0] > 0 for d, i in zip(home, item, strict=True)], dtype=bool)
-        start, item, home = start[left], item[left], home[left]
-        around = self.most[item]
-        row = np.repeat(np.arange(len(start)), 2 * around + 1)
-        shift = K._ranges(-around, 2 * around + 1)
-        row, shift = row[shift != 0], shift[shift != 0]
-        for a in range(0, len(row), ROWS * 8):
-            r = row[a : a + ROWS * 8]
-            self._check(start[r] + shift[a : a + ROWS * 8], item[r], home[r], h, offs, found)
+        for start, n, home in self.proposals(h, doc):
+            start, n, home = np.unique(np.stack([start, n, home]), axis=1)
+            # A window that is an item without an edit is not moved.
+            exact = self._check(start, n, home, h, offs, found)
+            left = np.array([x not in exact for x in zip(home.tolist(), start.tolist(), n.tolist(), strict=True)], dtype=bool)
+            start, n, home = start[left], n[left], home[left]
+            around = (n * (1 - self.similarity) + 1e-9).astype(np.int64)
+            ends = np.cumsum(2 * around + 1)
+            a = 0
+            while a < len(start):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PROPOSED, side="right")))
+                row = np.repeat(np.arange(a, b), 2 * around[a:b] + 1)
+                self._check(start[row] + K._ranges(-around[a:b], 2 * around[a:b] + 1), n[row], home[row], h, offs, found)
+                a = b
         for (d, i), (edits, s) in found.items():
             yield d, i, s, edits
 
-    def _check(self, start, item, home, h, offs, found) -> None:
-        n = self.length[item]
+    def _check(self, start, n, home, h, offs, found) -> set[tuple[int, int, int]]:
+        """Note the best windows of each document and item in ``found`` -> (document, start, words) of those without an edit."""
+        exact = set()
         # At the edges of a document the window is what lies inside it.
         start = np.maximum(start, offs[home])
         end = np.minimum(start + n, offs[home + 1])
         start, end, home, n = np.unique(np.stack([start, end, home, n])[:, end > start], axis=1)
-        for a in range(0, len(start), ROWS):
-            s, e, m = start[a : a + ROWS], end[a : a + ROWS], n[a : a + ROWS]
+        for part in _chunks(n):
+            s, e, m = start[part], end[part], n[part]
             place = s[:, None] + np.arange(int(m.max()))
             rows = np.where(place < e[:, None], h[np.minimum(place, len(h) - 1)], U(0))
             keys = lsh_keys(rows, m, self.seed).ravel()
@@ -188,10 +198,13 @@ class Items:
             whose = self.owner[K._ranges(lo, hi - lo)]
             for code in np.unique(window * len(self.ids) + whose).tolist():
                 k, i = divmod(code, len(self.ids))
-                most, d = int(self.most[i]), int(home[a + k])
+                most, d = int(self.most[i]), int(home[part[k]])
                 edits = edit_distance(self.words[i], h[s[k] : e[k]], most)
                 if edits <= most and (edits, s[k]) < found.get((d, i), (most + 1, 0)):
                     found[d, i] = (edits, int(s[k]))
+                if not edits:
+                    exact.add((d, int(s[k]), int(m[k])))
+        return exact
 
 
 def _member(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -237,8 +250,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ones, cannot be told from chance and are passed over; null and empty texts hold nothing.
     Items with equal ids are each sought.  Repeated documents have a row each.
 
-    The benchmark goes to the tasks in blocks of at most ``BLOCK_ITEMS`` items, with a pass over
-    the documents for each block, so what is sent at once has a bound.
+    The benchmark goes to the tasks in blocks of at most ``BLOCK_ITEMS`` items and about ``BLOCK_WORDS`` words, with
+    a pass over the documents for each block, so what is sent at once has a bound.  Empty tables give nothing.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = None
@@ -250,18 +263,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, similarity: float, min_words: int, seed: int) -> Iterator[Items]:
-    """The benchmark in blocks of at most BLOCK_ITEMS items, read one partition at a time."""
+    """The benchmark in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words, or one item, read one partition at a time."""
     limit_batches(benchmark.sparkSession)
     block: list[tuple[int, np.ndarray]] = []
+    size = 0
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         text = np.frombuffer(r.text.encode(), dtype=np.uint8)
         h = K.Words(text, np.array([0, len(text)]), lower=True).hashes()
         if len(h) >= min_words:
+            if block and (len(block) == BLOCK_ITEMS or size + len(h) > BLOCK_WORDS):
+                yield Items([i for i, _ in block], [h for _, h in block], similarity, seed)
+                block, size = [], 0
             block.append((-1 if r.item_id is None else r.item_id, h))
-        if len(block) == BLOCK_ITEMS:
-            yield Items([i for i, _ in block], [h for _, h in block], similarity, seed)
-            block = []
+            size += len(h)
     if block:
         yield Items([i for i, _ in block], [h for _, h in block], similarity, seed)
 
@@ -282,7 +297,10 @@ def _clean(items: Items, text_at: int) -> Callable:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8, min_words: int = 5, seed: int = 11) -> DataFrame:
-    """The rows and columns of ``docs`` in whose text ``contaminated`` finds no item."""
+    """The rows and columns of ``docs`` in whose text ``contaminated`` finds no item.
+
+    Null and empty texts stay, repeated rows are treated alike, and empty tables lose nothing.
+    """
     out, text_at = docs, docs.columns.index(text_col)
     for items in item_blocks(benchmark, item_col, item_text, similarity, min_words, seed):
         held = docs.sparkSession.sparkContext.broadcast(items)
