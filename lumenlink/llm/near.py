@@ -266,17 +266,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that it is the row's own.  A text with fewer words is one shingle; null, empty and
     word-free texts have no shingle and are linked with nothing.  Equal rows are linked with
     each other; a null id is never least unless all ids of the component are null.  Only the id
-    and the text are read, so further columns cannot clash.
+    and the text are read, so further columns cannot clash.  An empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = keep(rows.mapInArrow(_sign(shingle, lower), "id long, n long, node long, keys array<long>, sig binary"), "signed")
     some = signed.where("n > 0")
-    posts = some.select("node", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    lists = keep(posts.join(shared, "key", "left_semi").distinct(), "lists")
+    # Copies are one node before anything is posted.
+    nodes = keep(some.groupBy("node", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
+    posts = nodes.select("node", F.explode("keys").alias("key"))
+    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    lists = keep(posts.join(shared, "key", "left_semi"), "lists")
     long = lists.groupBy("key").count().where(F.col("count") > SMALL).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     long = keep(long, "long")
-    members = keep(some.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node", "n").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "members")
+    members = keep(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "id", "sig"), "members")
 
     def compared(posts: DataFrame, small: int) -> DataFrame:
         dealt = posts.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
@@ -318,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "node", "n", "comp", "block", "sig", "members")
         more = dealt.mapInArrow(_settle(num, den), PAIR)
         labels = keep(components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "labels")
-    ids = some.groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ids = nodes.select("node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = ids.select("node", "comp").join(least, "comp").select("node", "component_id")
     out = signed.select("id", "n", "node").join(named, "node", "left")
@@ -339,7 +341,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = found.agg(F.count(F.lit(1)), F.count_distinct(id_col), F.count(id_col)).first()
     if ids[1] < ids[2]:
         turn = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text_col)))
-        out = out.withColumn("lumenlink_turn", F.when(F.col(id_col).isNull(), 1).otherwise(turn)).where("lumenlink_turn = 1")
+        named = out.where(F.col(id_col).isNotNull()).withColumn("lumenlink_turn", turn).where("lumenlink_turn = 1").drop("lumenlink_turn")
+        out = named.unionByName(out.where(F.col(id_col).isNull()))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
