@@ -141,10 +141,13 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame
     """
     text = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.encode(text, "UTF-8")).alias("digest"), F.octet_length(text).alias("bytes"))
-    first = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, ["digest", "bytes"], "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return keep(joined.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_write_records(root), RECORD), "records")
+    # What revisits what is settled on ids and digests; the payloads then move once, under the ids of their records.
+    ids = rows.where(F.col("bytes") >= min_bytes).select("page_id", "digest", "bytes")
+    first = ids.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    again = ids.join(first, ["digest", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    again = again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("bytes").alias("b"), F.col("first").alias("refers_to"))
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
+    return keep(joined.select("page_id", "url", "html", "refers_to").mapInArrow(_write_records(root), RECORD), "records")
 
 
 def _write_shard(root: str) -> Callable:
