@@ -65,15 +65,19 @@ TASK_EDGES = 1_000_000
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs -> (node, comp) for every node of an edge; comp is the least node reachable.
 
-    Tasks first contract their own shares of the edges, of a bounded size; that is all if one task
-    holds them.  Otherwise alternating large-star and small-star steps follow, each round written to
-    the shared folder; only one row of counts reaches the driver.
+    Tasks first contract their own shares of the edges, of a bounded size, again and again while that makes
+    them much fewer; that is all if one task comes to hold them.  Otherwise alternating large-star and
+    small-star steps follow, each round written to the shared folder; only one row of counts reaches the driver.
     """
     e = keep(edges.select("a", "b").where("a <> b"), "edges")
-    parts = -(-e.count() // TASK_EDGES)
-    if parts <= 1:
+    n = e.count()
+    while n > TASK_EDGES:
+        e = keep(e.repartition(-(-n // TASK_EDGES)).mapInArrow(_contract, "a long, b long").where("a <> b"), "contracted")
+        was, n = n, e.count()
+        if n > 0.7 * was:
+            break
+    if n <= TASK_EDGES:
         return e.repartition(1).mapInArrow(_contract, "node long, comp long")
-    e = keep(e.repartition(parts).mapInArrow(_contract, "a long, b long").where("a <> b"), "contracted")
     before = None
     while True:
         e = keep(_star(_star(e, True), False), "stars")

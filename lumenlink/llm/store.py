@@ -67,7 +67,26 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     limit_batches(spark)
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete kept tables that no later step reads: what was made of them has been written."""
+    for df in kept:
+        spark, path = df.sparkSession, df._kept_at
+        _made.remove(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of the steps that are done.
+
+    It does so when the driver collects its garbage, which a query of many steps may not see for long.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
