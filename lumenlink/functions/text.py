@@ -75,7 +75,7 @@ def binary_multiply(a: Column, by: Column) -> Column:
 
 def binary_xor(a: Column, b: Column) -> Column:
     """Position by position, as long as the first; the second is filled with zeros or cut on the right."""
-    pairs = F.arrays_zip(F.split(a, "").alias("a"), F.split(F.substring(F.rpad(b, 1_000, "0"), 1, 1_000), "").alias("b"))
+    pairs = F.arrays_zip(F.split(a, "").alias("a"), F.split(F.rpad(b, F.length(a), F.lit("0")), "").alias("b"))
     return F.array_join(F.transform(F.slice(pairs, F.lit(1), F.length(a)), lambda p: F.when(p["a"] == p["b"], "0").otherwise("1")), "")
 
 

@@ -21,7 +21,8 @@ SEED = "coins"
 
 def balance(bits: Column, n: int, seed: int = 42) -> Column:
     """Each bit and its complement, in 2 n bits, permuted; n of them are set."""
-    both = B.let(bits, lambda b: F.concat(b, F.transform(B.chosen(n, lambda p: ~B.is_set(b, p)), lambda p: p + n)))
+    unset = lambda b: B.let(B.word_array(b, n), lambda w: B.chosen(n, lambda p: ~B.has(w, p)))
+    both = B.let(bits, lambda b: F.concat(b, F.transform(unset(b), lambda p: p + n)))
     return permuted(both, JavaRandom(seed).permutation(2 * n))
 
 
@@ -141,7 +142,7 @@ def compress(bits: Column, n: int, ratio: float, seed: int = 42) -> Column:
     low, high = (F.array(*(F.lit(p[k]) for p in pairs)) for k in (0, 1))
 
     def closed(b):
-        dropped = F.array_sort(F.zip_with(low, high, lambda x, y: F.when(B.is_set(b, y) & ~B.is_set(b, x), x).otherwise(y)))
+        dropped = F.array_sort(B.let(B.word_array(b, n), lambda w: F.zip_with(low, high, lambda x, y: F.when(B.has(w, y) & ~B.has(w, x), x).otherwise(y))))
         return B.let(dropped, lambda d: F.transform(F.array_except(b, d), lambda p: (p - F.size(F.filter(d, lambda x: x < p))).cast("int")))
 
     return B.let(bits, closed)

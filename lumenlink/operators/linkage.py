@@ -14,11 +14,22 @@ def shared_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
     return size(left, "n_left").join(size(right, "n_right"), "block_key")
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (entity_a, entity_b) that share a block.  Only ids go through the join; vectors are attached later."""
+def candidates(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct (entity_a, entity_b) that share a block.  Only ids go through the join; vectors are attached later.
+
+    ``most`` deals blocks with more records of the left side into parts of about that many, each of which
+    meets the whole right side of the block in a task of its own; the pairs are the same.
+    """
     a = left.select(F.col("entity_id").alias("entity_a"), "block_key")
     b = right.select(F.col("entity_id").alias("entity_b"), "block_key")
-    return a.join(b, "block_key").select("entity_a", "entity_b").distinct()
+    keys = ["block_key"]
+    if most is not None:
+        parts = left.groupBy("block_key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")).where("_parts > 1")
+        dealt = lambda side: side.join(parts, "block_key", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        a = dealt(a).withColumn("_part", F.expr("cast(pmod(xxhash64(entity_a), _parts) as int)"))
+        b = dealt(b).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        keys.append("_part")
+    return a.join(b, keys).select("entity_a", "entity_b").distinct()
 
 
 def dice_sets(a: Column, b: Column) -> Column:
@@ -63,6 +74,15 @@ def link_bits(a: DataFrame, b: DataFrame, blocks_a: DataFrame, blocks_b: DataFra
     return pairs.where(reach).select("entity_a", "entity_b", sim.alias("sim")).where(F.col("sim") >= least)
 
 
+def link_both(a: DataFrame, b: DataFrame, blocks_a: DataFrame, blocks_b: DataFrame, bits: str, n: int) -> DataFrame:
+    """(entity_a, entity_b, sim, es_sim): bag similarity of the grams and Dice of the filters, in one projection of one table of candidates."""
+    w = [f"w{k}" for k in range(-(-n // 64))]
+    side = lambda df, s: df.select(F.col("entity_id").alias(f"entity_{s}"), F.col("grams").alias(f"grams_{s}"), F.size(bits).alias(f"ones_{s}"), *(c.alias(f"{k}_{s}") for k, c in B.words(F.col(bits), n).items()))
+    pairs = candidates(blocks_a, blocks_b).join(side(a, "a"), "entity_a").join(side(b, "b"), "entity_b")
+    es_sim = dice_bits([F.col(f"{c}_a") for c in w], [F.col(f"{c}_b") for c in w], F.col("ones_a"), F.col("ones_b"))
+    return pairs.select("entity_a", "entity_b", dice_bag(F.col("grams_a"), F.col("grams_b")).alias("sim"), es_sim.alias("es_sim"))
+
+
 def reduction_ratio(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: candidates, records of both sides, and the share of all pairs that blocking saves."""
     n = pairs.agg(F.count(F.lit(1)).alias("n_pairs"))

@@ -13,16 +13,19 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def prf_distance(pairs: DataFrame, threshold: float, true: str = "true_dis", estimated: str = "est_dis") -> DataFrame:
-    """One row: counts and precision, recall, F1 of "distance <= threshold"; null where a ratio is undefined."""
+    """One row: counts and precision, recall, F1 of "distance <= threshold", each row counting ``pairs`` times; null where a ratio is undefined."""
     is_, said = F.col(true) <= threshold, F.col(estimated) <= threshold
-    c = pairs.agg(F.count_if(said & is_).alias("tp"), F.count_if(said & ~is_).alias("fp"), F.count_if(~said & ~is_).alias("tn"), F.count_if(~said & is_).alias("fn"))
+    tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("pairs"))), F.lit(0))
+    c = pairs.agg(tally(said & is_).alias("tp"), tally(said & ~is_).alias("fp"), tally(~said & ~is_).alias("tn"), tally(~said & is_).alias("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select("tp", "fp", "tn", "fn", F.round(_ratio(tp, tp + fp), 9).alias("precision"), F.round(_ratio(tp, tp + fn), 9).alias("recall"), F.round(_ratio(2 * tp, 2 * tp + fp + fn), 9).alias("f1"))
 
 
-def threshold_sweep(pairs: DataFrame, total: Column | int, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+def threshold_sweep(pairs: DataFrame, left: DataFrame, right: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """(threshold, tp, fp, tn, fn) of similarity >= threshold; pairs have entity_a, entity_b, sim, and equal ids are true.
 
+    All pairs of ``left`` and ``right`` count; their number is a row of its own, counted when the sweep runs.
+
     True pairs below a threshold count as missed only if they are among ``pairs``.
     """
     match = F.col("entity_a") == F.col("entity_b")
@@ -32,8 +35,9 @@ def threshold_sweep(pairs: DataFrame, total: Column | int, thresholds: list[floa
     hit = F.col("sim") >= F.col("threshold")
     tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
     out = long.groupBy("threshold").agg(tally(hit & F.col("match")).alias("tp"), tally(hit & ~F.col("match")).alias("fp"), tally(~hit & F.col("match")).alias("fn"))
-    all_ = F.lit(total).cast("long") if isinstance(total, int) else total
-    return out.select("threshold", "tp", "fp", (all_ - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), "fn")
+    size = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+    total = size(left, "_left").crossJoin(size(right, "_right"))
+    return out.crossJoin(F.broadcast(total)).select("threshold", "tp", "fp", (F.col("_left") * F.col("_right") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), "fn")
 
 
 def precision_recall(sweep: DataFrame) -> DataFrame:

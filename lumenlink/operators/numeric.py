@@ -79,23 +79,23 @@ def est_dprl(h: Column, m: int, width: float, f: float = COIN, divisor: float =
 
 
 def segment_terms(m: int, method: str, epsilon: float = EPSILON) -> tuple[float, float]:
-    """What the segments subtract and divide by."""
-    p = math.exp(epsilon) / (math.exp(epsilon) + 1)
-    subtract = divide = 0.0
-    for a in range(0, m, SEGMENT):
-        s = min(SEGMENT, m - a)
-        if method == "v1":
-            subtract += 2 * p / s - 2 * p * p / s + (2 - 2 * p) * (s - 1) / s
-            divide += (s - 1 + (2 * p - 1) ** 2 + (s - 1) * (s - 4 + 4 * p)) / s
-        else:
-            subtract += 2 * p - 2 * p * p
-            divide += (2 * p - 1) ** 2 + s - 1
-    return subtract, divide
+    """(noise, slope) of a Hamming distance whose mean is noise + slope * true bits / m.
+
+    A pair of bits changes with chance c = 2 f (1 - f) if each of them flips with chance f; it then adds c
+    where the bits are equal and 1 - c where they are not.  In v1 all bits of a segment of s flip with f / s, in v2
+    one of them with f.
+    """
+    f = flip_probability(epsilon)
+    changed = lambda share: 2 * share * (1 - share)
+    of_segment = (lambda s: s * changed(f / s)) if method == "v1" else (lambda s: changed(f))
+    full, rest = divmod(m, SEGMENT)
+    noise = full * of_segment(SEGMENT) + (of_segment(rest) if rest else 0.0)
+    return noise, m - 2 * noise
 
 
 def est_segments(h: Column, m: int, width: float, method: str, epsilon: float = EPSILON, divisor: float = DIVISOR) -> Column:
-    subtract, divide = segment_terms(m, method, epsilon)
-    return (h / divisor - subtract) * width / divide
+    noise, slope = segment_terms(m, method, epsilon)
+    return (h / divisor - noise) * width / slope
 
 
 def est_value(ones: Column, m: int, low: float, high: float, epsilon: float = EPSILON) -> Column:
@@ -118,19 +118,22 @@ def est_ue(sum_a: Column, sum_b: Column, epsilon: float = EPSILON) -> Column:
     return F.abs(sum_a - sum_b) / (1 - math.exp(-epsilon))
 
 
-def all_pairs(df: DataFrame, row: str, columns: list[str], rows_a_block: int = 2_000) -> DataFrame:
-    """All pairs of records with row_a < row_b, columns suffixed _a and _b.
+def all_pairs(df: DataFrame, row: str, columns: list[str], blocks: int = 32) -> DataFrame:
+    """All unordered pairs of records as pairs of their columns, suffixed _a and _b, with the number of pairs of records as ``pairs``.
 
-    Records are dealt into blocks; every pair of blocks meets once under a key of its own, so the
-    pairing is an equi-join of bounded groups, whatever the number of records.
+    Records with equal columns are one, with a weight, so what does not tell records apart is paired once.
+    The rest are dealt into ``blocks`` by a hash; every unordered pair of blocks meets once under a key of its
+    own, so the pairing is an equi-join of groups that a larger ``blocks`` makes smaller.  Which side is a is arbitrary.
     """
-    blocks = max(1, -(-df.count() // rows_a_block))
-    cut = F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int")
-    side = df.select(F.col(row), *columns, cut.alias("_block"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = side.select(F.col(row).alias(f"{row}_a"), *(F.col(c).alias(f"{c}_a") for c in columns), F.col("_block").alias("_x"), others.alias("_y"))
-    right = side.select(F.col(row).alias(f"{row}_b"), *(F.col(c).alias(f"{c}_b") for c in columns), F.col("_block").alias("_y"), others.alias("_x"))
-    return left.join(right, ["_x", "_y"]).where(F.col(f"{row}_a") < F.col(f"{row}_b")).drop("_x", "_y")
+    kinds = df.groupBy(*columns).agg(F.min(row).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    kinds = kinds.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
+    side = lambda s, x, y: kinds.select(*(F.col(c).alias(f"{c}_{s}") for c in columns), F.col("_row").alias(f"_row_{s}"), F.col("_n").alias(f"_n_{s}"), x.alias("_x"), y.alias("_y"))
+    left = side("a", F.col("_block"), F.explode(F.sequence(F.col("_block"), F.lit(blocks - 1))))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.col("_block"))), F.col("_block"))
+    met = left.join(right, ["_x", "_y"]).where((F.col("_x") < F.col("_y")) | (F.col("_row_a") < F.col("_row_b")))
+    names = [f"{c}_{s}" for s in "ab" for c in columns]
+    alike = kinds.where("_n > 1").select(*(F.col(c).alias(f"{c}_{s}") for s in "ab" for c in columns), F.expr("_n * (_n - 1) div 2").alias("pairs"))
+    return met.select(*names, (F.col("_n_a") * F.col("_n_b")).alias("pairs")).unionByName(alike)
 
 
 def gaussian_domain(df: DataFrame, row: str, low: float, high: float, seed: str = "heights") -> DataFrame:

@@ -14,6 +14,7 @@ from lumenlink.functions import text as X
 from lumenlink.functions.jrandom import JavaRandom, coefficients, pair_draws
 from lumenlink.operators import blocking as K
 from lumenlink.operators import encoders as E
+from lumenlink.operators import experiment as EX
 from lumenlink.operators import hardening as D
 from lumenlink.operators import linkage as L
 from lumenlink.operators import metrics as M
@@ -168,7 +169,10 @@ def binary_mod(spark, d):
     return V.table(spark, d, "part").select("p_partkey", X.binary_mod(F.bin("p_partkey"), F.col("p_size") % 7).alias("rest"))
 
 
-@query()
+_GF2 = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(bin(p_partkey)) + 1), lambda i: CAST(substr(bin(p_partkey), i, 1) AS BIGINT))), lambda v, x: CASE WHEN (v << 1 | x) >= 16 THEN xor(v << 1 | x, 19) ELSE v << 1 | x END)"
+
+
+@query(f"SELECT p_partkey, bin({_GF2}) AS rest FROM part")
 def binary_gf2_mod(spark, d):
     """Remainders of the parts' keys as polynomials over GF(2) by x**4 + x + 1."""
     return V.table(spark, d, "part").select("p_partkey", X.gf2_mod(F.bin("p_partkey"), 0b10011).alias("rest"))
@@ -266,10 +270,14 @@ for _i, _p in enumerate(JavaRandom(42).permutation(BITS)):
     _INVERSE[_p] = _i
 
 
-def _rbf_sql(salt: str):
+def _rbf_bits(salt: str) -> str:
     part = lambda a, c: f"list_transform(flatten(list_transform(list_distinct({S.grams(c, Q)}), lambda s: {S.double_hash(f'(s{salt})', HASHES, _HALF)})), lambda p: p + {a * _HALF})"
     both = f"list_concat({part(0, 'attr1')}, {part(1, 'attr2')})"
-    return _sql_shown(f"list_sort(list_distinct(list_transform({both}, lambda p: {S.listed(_INVERSE)}[p + 1])))", "rec_a", V.SQL_A)
+    return f"list_sort(list_distinct(list_transform({both}, lambda p: {S.listed(_INVERSE)}[p + 1])))"
+
+
+def _rbf_sql(salt: str):
+    return _sql_shown(_rbf_bits(salt), "rec_a", V.SQL_A)
 
 
 def _rbf(spark, d, salt):
@@ -526,17 +534,16 @@ def num_encode_ue(spark, d):
 
 
 def _pairs(df: DataFrame, extra: dict, n: int = M_BITS) -> DataFrame:
-    """All pairs with the true distance, the Hamming distance of the vectors, and more columns of both sides."""
-    packed = df.select("id", "value", *(c.alias(k) for k, c in B.words(F.col("bits"), n).items()), *(c.alias(k) for k, c in extra.items()))
-    w = [f"w{k}" for k in range(-(-n // 64))]
-    p = N.all_pairs(packed, "id", ["value", *w, *extra])
-    h = B.hamming([F.col(f"{c}_a") for c in w], [F.col(f"{c}_b") for c in w])
+    """All pairs with the true distance, the Hamming distance of the vectors, more columns of both sides, and how many pairs of records they are."""
+    packed = df.select("id", "value", B.let(F.col("bits"), lambda b: B.word_array(b, n)).alias("w"), *(c.alias(k) for k, c in extra.items()))
+    p = N.all_pairs(packed, "id", ["value", "w", *extra])
+    h = B.hamming(*([F.get(f"w_{s}", k) for k in range(-(-n // 64))] for s in "ab"))
     return p.withColumn("true_dis", F.abs(F.col("value_a") - F.col("value_b"))).withColumn("h", h)
 
 
 def _by_distance(pairs: DataFrame, est) -> DataFrame:
     """For each true distance: pairs, least and largest estimate."""
-    return pairs.select("true_dis", est.alias("est")).groupBy("true_dis").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("est"), 6).alias("least"), F.round(F.max("est"), 6).alias("most"))
+    return pairs.select("true_dis", "pairs", est.alias("est")).groupBy("true_dis").agg(F.sum("pairs").alias("n"), F.round(F.min("est"), 6).alias("least"), F.round(F.max("est"), 6).alias("most"))
 
 
 def _est_sql(bits: str, est: str, extra: str = "", n: int = M_BITS, tail: str | None = None) -> str:
@@ -566,7 +573,7 @@ def est_distance_plain(spark, d):
 def pairs_distance(spark, d):
     """All pairs: how often the plain estimate falls below the true distance."""
     p = _pairs(_numbers(spark, d), {}).withColumn("est", N.est_plain(F.col("h"), M_BITS, WIDTH))
-    return p.groupBy("true_dis", (F.col("est") <= F.col("true_dis")).alias("below")).agg(F.count(F.lit(1)).alias("n"))
+    return p.groupBy("true_dis", (F.col("est") <= F.col("true_dis")).alias("below")).agg(F.sum("pairs").alias("n"))
 
 
 _EST_DPRL = f"(h / 1.1 / {M_BITS} - {(1 - 0.8 * 0.8) / 2!r}) * {WIDTH} / {0.8 * 0.8!r}"
@@ -578,8 +585,8 @@ def est_distance_dprl(spark, d):
 
 
 def _segment_sql(method):
-    subtract, divide = N.segment_terms(M_BITS, method)
-    return f"(h / 1.1 - {subtract!r}) * {WIDTH} / {divide!r}"
+    noise, slope = N.segment_terms(M_BITS, method)
+    return f"(h / 1.1 - {noise!r}) * {WIDTH} / {slope!r}"
 
 
 @query(_est_sql(_V1, _segment_sql("v1")))
@@ -691,11 +698,15 @@ _SIG = f"(CASE WHEN len(grams) > 0 THEN list_transform(range(1, {BANDS * ROWS +
 _BAND = f"list_transform(range(0, {BANDS}), lambda k: CAST(k AS VARCHAR) || ':' || md5(array_to_string(sig[k * {ROWS} + 1 : k * {ROWS} + {ROWS}], ',')))"
 
 
-def _minhash_sql(of, alias):
-    return f"{alias} AS (SELECT DISTINCT entity_id, unnest({_BAND}) AS block_key FROM (SELECT entity_id, {_SIG} AS sig FROM {of}) WHERE sig IS NOT NULL)"
+def _minhash_sql(of, alias, sig=_SIG):
+    return f"{alias} AS (SELECT DISTINCT entity_id, unnest({_BAND}) AS block_key FROM (SELECT entity_id, {sig} AS sig FROM {of}) WHERE sig IS NOT NULL)"
 
 
-@query()
+#: As the signature over md5, with crc32 of the grams, which are ASCII here.
+_SIG_CRC = f"(CASE WHEN len(grams) > 0 THEN list_transform(range(1, {BANDS * ROWS + 1}), lambda f: list_min(list_transform(list_distinct(grams), lambda g: ({S.listed(_CA)}[f] * {S.crc32('g')} + {S.listed(_CB)}[f]) % {K.PRIME}))) END)"
+
+
+@query(f"WITH {WITH_CLK} SELECT entity_id, array_to_string({_SIG_CRC}, ' ') AS signature FROM clk")
 def minhash_signature(spark, d):
     return _grams(_a(spark, d)).select("entity_id", B.shown(K.minhash(F.col("grams"), BANDS * ROWS)).alias("signature"))
 
@@ -710,7 +721,7 @@ def _minhash_blocks(df, base):
     return _blocks(_grams(df), K.band_keys(K.minhash(F.col("grams"), BANDS * ROWS, base), BANDS, ROWS))
 
 
-@query()
+@query(f"WITH {WITH_CLK}, {_minhash_sql('clk', 'blk', _SIG_CRC)} SELECT * FROM blk")
 def block_minhash(spark, d):
     return _minhash_blocks(_a(spark, d), "crc32")
 
@@ -796,16 +807,15 @@ _BAG = "2.0::DOUBLE * len(list_filter(b.grams, lambda x: list_contains(a.grams,
 def link_bf_soundex(spark, d):
     """The similarity of the grams beside that of the keyed filters, for all pairs of a phonetic block."""
     a, b = _bf(spark, d), _grams(_b(spark, d)).withColumn("bits", E.clk(F.col("grams"), BF_K, BITS, "hmac"))
-    es = L.link_bits(a, b, _soundex(a), _soundex(b), "bits", BITS, 0.0).withColumnRenamed("sim", "es_sim")
-    return sim_dice_bag(spark, d).join(es, ["entity_a", "entity_b"]).select("entity_a", "entity_b", "sim", "es_sim")
+    return L.link_both(a, b, _soundex(a), _soundex(b), "bits", BITS)
 
 
 _MH = f"WITH {V.SQL_B}, {SQL_CLK}, {SQL_CLK_B}, {_minhash_sql('clk', 'blk_a')}, {_minhash_sql('clk_b', 'blk_b')}, cand AS (SELECT DISTINCT a.entity_id AS entity_a, b.entity_id AS entity_b FROM blk_a a JOIN blk_b b USING (block_key))"
 
 
-def _minhash_pairs(spark, d, least):
+def _minhash_pairs(spark, d, least, base="md5"):
     a, b = _clk(_a(spark, d)), _clk(_b(spark, d))
-    return L.link_bits(a, b, _minhash_blocks(_a(spark, d), "md5"), _minhash_blocks(_b(spark, d), "md5"), "bits", BITS, least)
+    return L.link_bits(a, b, _minhash_blocks(_a(spark, d), base), _minhash_blocks(_b(spark, d), base), "bits", BITS, least)
 
 
 @query(f"{_MH} SELECT * FROM ({_BITPAIRS}) WHERE sim >= 0.5")
@@ -813,6 +823,11 @@ def link_bf_minhash(spark, d):
     return _minhash_pairs(spark, d, 0.5)
 
 
+@query(f"{_MH.replace(_SIG, _SIG_CRC)} SELECT * FROM ({_BITPAIRS}) WHERE sim >= 0.5")
+def link_bf_minhash_crc32(spark, d):
+    return _minhash_pairs(spark, d, 0.5, "crc32")
+
+
 @query(f"{_MH} SELECT count(*) AS n_pairs, (SELECT count(*) FROM rec_a) AS n_left, (SELECT count(*) FROM rec_b) AS n_right, round(1.0 - CAST(count(*) AS DOUBLE) / (CAST((SELECT count(*) FROM rec_a) AS DOUBLE) * (SELECT count(*) FROM rec_b)), 6) AS reduction_ratio FROM cand")
 def reduction_ratio(spark, d):
     pairs = L.candidates(_minhash_blocks(_a(spark, d), "md5"), _minhash_blocks(_b(spark, d), "md5"))
@@ -824,8 +839,7 @@ _SWEEP = f"sw AS (SELECT threshold, count(*) FILTER (sim >= threshold AND entity
 
 
 def _sweep(spark, d):
-    total = _a(spark, d).count() * _b(spark, d).count()
-    return M.threshold_sweep(_link(spark, d), total)
+    return M.threshold_sweep(_link(spark, d), _a(spark, d), _b(spark, d))
 
 
 @query(f"{_LINKED}, {_SWEEP} SELECT threshold, tp, fp, total - tp - fp - fn AS tn, fn FROM sw")
@@ -838,6 +852,116 @@ def precision_recall_curve(spark, d):
     return M.precision_recall(_sweep(spark, d))
 
 
+# ---- experiments by configuration ----------------------------------------------------------------
+
+NAMES = ["attr1", "attr2"]
+_HARDENED = {
+    "none": "bits",
+    "bal": f"list_sort(list_transform(list_concat(bits, list_transform(list_filter(range(0, {BITS}), lambda p: NOT list_contains(bits, p)), lambda p: p + {BITS})), lambda p: {S.listed(_BAL)}[p + 1]))",
+    "xor": S.odd(f"list_transform(bits, lambda p: p % {BITS // 2})"),
+    "r90": S.odd(f"list_concat(list_transform(bits, lambda p: (p + 1) % {BITS}), list_transform(bits, lambda p: (p + {BITS - 1}) % {BITS}))"),
+    "uldp-1": _uldp_sql("bits"),
+    "blip-0.1": f"list_filter(range(0, {BITS}), lambda p: {_blip_sql(0.1)})",
+}
+
+
+def _grid_sql(hardenings: list[str], tail: str) -> str:
+    """The confusion counts ``sw`` of the filters that the hardenings give, in phonetic blocks."""
+    sides = [f"h{k}{s} AS (SELECT entity_id, {_HARDENED[h]} AS bits FROM {t})" for k, h in enumerate(hardenings) for s, t in (("a", "clk"), ("b", "clk_b"))]
+    links = [f"SELECT 'clk/dh/{h}/soundex' AS config, entity_a, entity_b, {_bit_dice('x.bits', 'y.bits')} AS sim FROM cand JOIN h{k}a x ON x.entity_id = entity_a JOIN h{k}b y ON y.entity_id = entity_b" for k, h in enumerate(hardenings)]
+    counts = f"SELECT config, threshold, count(*) FILTER (sim >= threshold AND entity_a = entity_b) AS tp, count(*) FILTER (sim >= threshold AND entity_a <> entity_b) AS fp, (SELECT count(*) FROM rec_a) * (SELECT count(*) FROM rec_b) AS total, count(*) FILTER (sim < threshold AND entity_a = entity_b) AS fn FROM (SELECT * FROM runs WHERE sim >= 0.5), (SELECT CAST(unnest({_STEPS}) AS DOUBLE) AS threshold) GROUP BY config, threshold"
+    return f"{_BOTH_CLK}, {_CANDS}, {', '.join(sides)}, runs AS ({' UNION ALL '.join(links)}), sw AS ({counts}) {tail}"
+
+
+_PR = "round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0), 4) AS \"precision\", round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0), 4) AS recall"
+
+
+@query(_grid_sql(["blip-0.1"], "SELECT threshold, tp, fp, total - tp - fp - fn AS tn, fn FROM sw"))
+def private_sweep(spark, d):
+    """Confusion counts of hardened filters, encoded, blocked and linked by the names of a configuration."""
+    return EX.sweep(_a(spark, d), _b(spark, d), EX.Config.parse("clk/dh/blip-0.1/soundex"), NAMES, "attr2")
+
+
+GRID = ["none", "xor", "r90", "bal", "uldp-1"]
+
+
+@query(_grid_sql(GRID, f"SELECT config, threshold, {_PR} FROM sw"))
+def private_grid(spark, d):
+    """Precision and recall of a grid of configurations."""
+    return EX.grid(_a(spark, d), _b(spark, d), EX.configs(["clk"], ["dh"], GRID, ["soundex"]), NAMES, "attr2")
+
+
+def _keys_sql(keys):
+    return f"blk_a AS (SELECT DISTINCT entity_id, unnest({keys}) AS block_key FROM clk), blk_b AS (SELECT DISTINCT entity_id, unnest({keys}) AS block_key FROM clk_b), cand AS (SELECT DISTINCT a.entity_id AS entity_a, b.entity_id AS entity_b FROM blk_a a JOIN blk_b b USING (block_key))"
+
+
+@query(f"WITH {V.SQL_B}, {SQL_CLK}, {SQL_CLK_B}, {_keys_sql(_RANDOM)} SELECT * FROM ({_BITPAIRS}) WHERE sim >= 0.5")
+def link_bf_hlsh(spark, d):
+    """Linkage in blocks of sampled bits of the filters."""
+    return EX.link(_a(spark, d), _b(spark, d), EX.Config(blocking="hlsh"), NAMES, "attr2")
+
+
+@query(f"WITH {V.SQL_B}, {SQL_CLK}, {SQL_CLK_B}, {_keys_sql(_SEGMENT)} SELECT * FROM ({_BITPAIRS}) WHERE sim >= 0.5")
+def link_bf_hlsh_segment(spark, d):
+    return EX.link(_a(spark, d), _b(spark, d), EX.Config(blocking="hlsh-segment"), NAMES, "attr2")
+
+
+@query(_sql_shown(S.odd(f"list_transform(bits, lambda p: p % {BITS // 2})"), "rbf", f"{V.SQL_A}, rbf AS (SELECT entity_id, {_rbf_bits('')} AS bits FROM rec_a)"))
+def rbf_hardened(spark, d):
+    df, _ = EX.encode(_a(spark, d), EX.Config(encoder="rbf", hardening="xor"), NAMES)
+    return _shown(df)
+
+
+@query(_sql_shown("bits", "clk", f"{V.SQL_A}, {SQL_CLK.replace(f'{GRAMS} AS grams', f'list_transform({GRAMS}, lambda s: s || salt) AS grams')}"))
+def clk_salt_hardened(spark, d):
+    """The configuration that salts the grams and leaves the filter as it is."""
+    df, _ = EX.encode(_a(spark, d), EX.Config(encoder="clk-salt", hardening="salt"), NAMES)
+    return _shown(df)
+
+
+TS = [3.0, 5.0, 7.0, 9.0]
+_DOMAINS = {"ages": (V.SQL_N, V.LOW, V.HIGH), "heights": (f"num AS (SELECT id, CASE WHEN v < 140.0 THEN CAST(140.0 AS DOUBLE) ELSE floor(least(v, CAST(200.0 AS DOUBLE))) END AS value FROM (SELECT c_custkey AS id, CAST({_HEIGHT} AS DOUBLE) AS v FROM customer))", 140.0, 200.0)}
+
+
+def _domain_sql(name):
+    num, low, high = _DOMAINS[name]
+    shared = N.thresholds(M_BITS, low, high)
+    enc = f"enc AS (SELECT id, value, list_filter(range(0, {M_BITS}), lambda i: value >= {S.listed(shared)}[i + 1]) AS bits FROM num)"
+    return f"""SELECT '{name}' AS domain, t AS threshold, round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 9) AS "precision", round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 9) AS recall, round(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 9) AS f1
+FROM (WITH {num}, {enc}, noisy AS (SELECT id, value, {_DPRL} AS bits FROM enc), packed AS (SELECT id, value, {S.bit_string('bits', M_BITS)} AS v FROM noisy),
+  met AS (SELECT abs(a.value - b.value) AS true_dis, bit_count(xor(a.v, b.v)) AS hd, count(*) AS n FROM packed a JOIN packed b ON a.id < b.id GROUP BY 1, 2),
+  est AS (SELECT true_dis, n, (CAST(hd AS DOUBLE) / 1.1 / {M_BITS} - {(1 - 0.8 * 0.8) / 2!r}) * {high - low} / {0.8 * 0.8!r} AS est FROM met)
+  SELECT t, sum(n) FILTER (est <= t AND true_dis <= t) AS tp, coalesce(sum(n) FILTER (est <= t AND true_dis > t), 0) AS fp, coalesce(sum(n) FILTER (est > t AND true_dis <= t), 0) AS fn FROM est, (SELECT CAST(unnest({TS}) AS DOUBLE) AS t) GROUP BY t)"""
+
+
+@query(" UNION ALL ".join(_domain_sql(d) for d in _DOMAINS))
+def distance_grid(spark, d):
+    """Precision, recall and F1 of "distance <= T" on noisy vectors of ages and heights, for four T."""
+    out = None
+    for name, (_, low, high) in _DOMAINS.items():
+        rows = V.numbers(spark, d) if name == "ages" else gen_heights(spark, d)
+        noisy = rows.withColumn("bits", N.noise_dprl(N.threshold_bits(F.col("value"), N.thresholds(M_BITS, low, high)), M_BITS, F.col("id")))
+        p = EX.distance_grid(_pairs(noisy, {}), N.est_dprl(F.col("h"), M_BITS, high - low), TS).select(F.lit(name).alias("domain"), "*")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+_LINE = " || ' ' || ".join(f"printf('%.6f', {c})" for c in ('"precision"', "recall", "f1"))
+
+
+@query(f"SELECT domain, threshold, {_LINE} AS line FROM ({' UNION ALL '.join(_domain_sql(d) for d in _DOMAINS)})")
+def store_prf(spark, d):
+    """The lines of the result files: precision, recall and F1, with spaces between."""
+    return distance_grid(spark, d).select("domain", "threshold", files.score_line(["precision", "recall", "f1"]).alias("line"))
+
+
+@query(f"{_LINKED}, {SQL_BF}, {SQL_BF_B} SELECT CAST('0x' || substr(md5(entity_a || ' ' || entity_b), 1, 8) AS BIGINT) % 8 AS shard, printf('%.6f', sim) || ' ' || printf('%.6f', es_sim) AS line FROM (SELECT a.entity_id AS entity_a, b.entity_id AS entity_b, {_BAG} AS sim, {_bit_dice('x.bits', 'y.bits')} AS es_sim FROM ga a JOIN gb b USING (block_key) JOIN bf x ON x.entity_id = a.entity_id JOIN bf_b y ON y.entity_id = b.entity_id)")
+def store_similarities(spark, d):
+    """The lines of the similarity files, true and estimated, dealt into eight shards."""
+    shard = F.conv(F.substring(F.md5(F.concat_ws(" ", "entity_a", "entity_b")), 1, 8), 16, 10).cast("long") % 8
+    return link_bf_soundex(spark, d).select(shard.alias("shard"), files.score_line(["sim", "es_sim"]).alias("line"))
+
+
 # ---- statistics and stores -----------------------------------------------------------------------
 
 

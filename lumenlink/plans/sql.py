@@ -21,6 +21,22 @@ def low32(hex_digest: str) -> str:
     return f"CAST('0x' || right({hex_digest}, 8) AS BIGINT)"
 
 
+def _crc_table() -> list[int]:
+    """The table of the reflected polynomial 0xEDB88320, by its rule."""
+    out = []
+    for v in range(256):
+        for _ in range(8):
+            v = (v >> 1) ^ (0xEDB88320 if v & 1 else 0)
+        out.append(v)
+    return out
+
+
+def crc32(g: str) -> str:
+    """CRC-32 of an ASCII string."""
+    codes = f"list_transform(range(1, length({g}) + 1), lambda i: CAST(unicode(substr({g}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda v, x: xor(v >> 8, CAST({listed(_crc_table())} AS BIGINT[])[(xor(v, x) & 255) + 1])), 4294967295)"
+
+
 def double_hash(g: str, k: int, n: int) -> str:
     return f"list_transform(range(1, {k + 1}), lambda i: (({low32(f'sha1({g})')} + i * {low32(f'md5({g})')}) & {LOW31}) % {n})"
 
