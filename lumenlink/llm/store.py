@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (as in tests), a local one is made and set."""
+    """The folder of spark.checkpoint.dir; where that is unset, a local one is made and set, on a local master (as in tests) only."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         have = sc._jsc.sc().getCheckpointDir()
+        if not have.isDefined() and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="lumenlink-")
         if not have.isDefined():
             sc.setCheckpointDir(at)
