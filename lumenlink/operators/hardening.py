@@ -1,18 +1,20 @@
 """Hardening: bit vector to bit vector, and a registry by configuration name.
 
-Noise draws keyed coins (functions/bits.py), so a retried task draws the same.
+Noise draws keyed coins (functions/coins.py), so a retried task draws the same.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlink.functions import bits as B
+from lumenlink.functions import coins as C
 from lumenlink.functions.jrandom import JavaRandom, pair_draws
 from lumenlink.operators.encoders import permuted
 
@@ -57,23 +59,14 @@ def resample_xor(bits: Column, n: int, seed: int = 42) -> Column:
     return B.let(table, lambda t: B.odd(F.flatten(F.transform(bits, lambda p: F.get(t, p)))))
 
 
-def _noisy(bits: Column, n: int, keep: Callable[[Column, Column], Column]) -> Column:
-    """The positions p below n where keep(p, is p set?) holds."""
-    return B.let(bits, lambda b: B.let(B.word_array(b, n), lambda w: B.chosen(n, lambda p: keep(p, B.has(w, p)))))
-
-
-def _blip(row: Column, p: Column, was: Column, prob, seed: str) -> Column:
-    return F.when(B.coin(seed, row, p, "replace") < prob, B.coin(seed, row, p, "fair") < 0.5).otherwise(was)
-
-
 def blip(bits: Column, n: int, row: Column, prob: float, seed: str = SEED) -> Column:
     """Each bit is replaced by a fair coin with the given probability."""
-    return _noisy(bits, n, lambda p, was: _blip(row, p, was, F.lit(prob), seed))
+    return C.noisy(bits, n, row, lambda was, coins: C.replaced(was, coins, prob), seed)
 
 
 def uldp(bits: Column, n: int, row: Column, epsilon: float = 1.0, seed: str = SEED) -> Column:
     """Ones stay, zeros become one with probability exp(-epsilon)."""
-    return _noisy(bits, n, lambda p, was: was | (B.coin(seed, row, p, "response") < math.exp(-epsilon)))
+    return C.noisy(bits, n, row, C.response(math.exp(-epsilon)), seed)
 
 
 def bit_frequency(df: DataFrame, bits: str, n: int) -> DataFrame:
@@ -95,10 +88,15 @@ def frequency_groups(frequencies: DataFrame, n: int, groups: int) -> DataFrame:
     return frequencies.select("bit", "freq", F.when(rank < size * groups, F.floor(rank / size).cast("int")).alias("grp"))
 
 
-def _with_list(df: DataFrame, by_bit: DataFrame, value: str, name: str) -> DataFrame:
-    """One row's list of a value for each bit, as long as the filter, beside every record."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("bit", value))), lambda s: s[value])
-    return df.crossJoin(F.broadcast(by_bit.agg(listed.alias(name))))
+def _with_codes(df: DataFrame, by_bit: DataFrame, code: Column, name: str) -> DataFrame:
+    """One row's small numbers, two bytes for each bit, as long as the filter, beside every record."""
+    coded = by_bit.select("bit", F.lpad(F.hex(code.cast("long")), 4, "0").alias("code"))
+    listed = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bit", "code"))), lambda s: s["code"]), ""))
+    return df.crossJoin(F.broadcast(coded.agg(listed.alias(name))))
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column[0].as_py(), dtype=">u2").astype(np.int64)
 
 
 def urap_parameters(epsilon: float) -> tuple[float, float, float]:
@@ -109,30 +107,33 @@ def urap_parameters(epsilon: float) -> tuple[float, float, float]:
 def urap(df: DataFrame, bits: str, n: int, row: str, ratio: float, epsilon: float, out: str = "hardened", seed: str = SEED) -> DataFrame:
     """Secret bits answer one with probability theta if set and d1 if not; other bits stay zero, and ones stay with probability 1 - d2."""
     theta, d1, d2 = urap_parameters(epsilon)
-    held = _with_list(df, secret_split(bit_frequency(df, bits, n), n, ratio), "secret", "_secret")
+    held = _with_codes(df, secret_split(bit_frequency(df, bits, n), n, ratio), F.col("secret"), "_secret")
 
-    def keep(p, was):
-        u = B.coin(seed, F.col(row), p, "response")
-        return F.when(~F.get(F.col("_secret"), p), was & (u < 1 - d2)).otherwise(u < F.when(was, F.lit(theta)).otherwise(F.lit(d1)))
+    def keep(was, coins, secret):
+        u = coins.grid(np.arange(n), "response")
+        hidden = u < np.where(was, C.below(theta), C.below(d1))
+        return np.where(_codes(secret) == 1, hidden, was & (u < C.below(1 - d2)))
 
-    return held.withColumn(out, _noisy(F.col(bits), n, keep)).drop("_secret")
+    return held.withColumn(out, C.noisy(F.col(bits), n, F.col(row), keep, seed, F.col("_secret"))).drop("_secret")
 
 
 def urap_prob(df: DataFrame, bits: str, n: int, row: str, ratio: float, secret_prob: float, plain_prob: float, out: str = "hardened", seed: str = SEED) -> DataFrame:
     """As urap with given probabilities: secret bits are replaced by a coin with one, set bits of the others with the other."""
-    held = _with_list(df, secret_split(bit_frequency(df, bits, n), n, ratio), "secret", "_secret")
+    held = _with_codes(df, secret_split(bit_frequency(df, bits, n), n, ratio), F.col("secret"), "_secret")
 
-    def keep(p, was):
-        return F.when(~F.get(F.col("_secret"), p), was & _blip(F.col(row), p, was, F.lit(plain_prob), seed)).otherwise(_blip(F.col(row), p, was, F.lit(secret_prob), seed))
+    def keep(was, coins, secret):
+        hidden = _codes(secret) == 1
+        return C.replaced(was, coins, np.where(hidden, secret_prob, plain_prob), hidden[None, :] | was)
 
-    return held.withColumn(out, _noisy(F.col(bits), n, keep)).drop("_secret")
+    return held.withColumn(out, C.noisy(F.col(bits), n, F.col(row), keep, seed, F.col("_secret"))).drop("_secret")
 
 
 def indexed(df: DataFrame, bits: str, n: int, row: str, probs: list[float], out: str = "hardened", seed: str = SEED) -> DataFrame:
     """Bits of the g-th frequency group are replaced by a coin with the g-th probability; left-over bits stay."""
-    groups = frequency_groups(bit_frequency(df, bits, n), n, len(probs)).withColumn("prob", F.coalesce(F.get(F.array(*(F.lit(float(p)) for p in probs)), F.col("grp")), F.lit(0.0)))
-    held = _with_list(df, groups, "prob", "_probs")
-    return held.withColumn(out, _noisy(F.col(bits), n, lambda p, was: _blip(F.col(row), p, was, F.get(F.col("_probs"), p), seed))).drop("_probs")
+    groups = frequency_groups(bit_frequency(df, bits, n), n, len(probs))
+    held = _with_codes(df, groups, F.coalesce("grp", F.lit(len(probs))), "_grp")
+    table = np.array([*probs, 0.0], dtype=np.float64)
+    return held.withColumn(out, C.noisy(F.col(bits), n, F.col(row), lambda was, coins, grp: C.replaced(was, coins, table[_codes(grp)]), seed, F.col("_grp"))).drop("_grp")
 
 
 def compress(bits: Column, n: int, ratio: float, seed: int = 42) -> Column:

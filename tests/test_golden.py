@@ -3,14 +3,17 @@
 import hmac
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenlink.functions import bits as B
+from lumenlink.functions import coins
 from lumenlink.functions import hashing as H
 from lumenlink.functions import text as X
 from lumenlink.functions.jrandom import JavaRandom, coefficients, pair_draws
 from lumenlink.operators import blocking, encoders, hardening, linkage, metrics, numeric
+from lumenlink.plans import catalog
 
 
 def one(spark, column):
@@ -134,3 +137,26 @@ def test_precision_recall_of_nothing(spark):
     assert metrics.threshold_sweep(empty, 10).count() == 0
     sweep = spark.createDataFrame([(0.5, 0, 0, 10, 0)], "threshold double, tp long, fp long, tn long, fn long")
     assert tuple(metrics.precision_recall(sweep).first()) == (0.5, 0.0, 0.0)
+
+
+def test_coins_of_a_batch_are_the_keyed_coins(spark):
+    ids = ["1", "22", "", "é" * 3, "a" * 41, "b" * 47, "c" * 130, None]
+    batch = coins.Coins("s", ids)
+    some = np.array([0, 7, 10, 99, 100, 999, 1000])
+    grid, at = batch.grid(some, "fair"), batch.at(np.repeat(np.arange(len(ids)), len(some)), np.tile(some, len(ids)), "fair")
+    assert (grid.ravel() == at).all()
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(ids)], "k long, r string").select("k", F.explode(F.array(*(F.lit(int(p)) for p in some))).alias("p"), "r")
+    for r in df.select("k", "p", B.coin("s", F.col("r"), F.col("p"), "fair").alias("u")).collect():
+        assert grid[r.k, list(some).index(r.p)] == r.u * 4294967296
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bf_encode_uldp", "harden_uldp", "harden_indexd"])
+def test_noise_is_drawn_for_batches_on_all_cores(spark, name):
+    """A digest for each bit in an interpreted lambda, in the one task that reads a small file, took too long."""
+    plan = planned(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "ArrowEvalPython" in plan and "response" not in plan and "replace" not in plan
+    assert "hashpartitioning(c_custkey" in plan
