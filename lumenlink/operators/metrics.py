@@ -21,10 +21,11 @@ def prf_distance(pairs: DataFrame, threshold: float, true: str = "true_dis", est
     return c.select("tp", "fp", "tn", "fn", F.round(_ratio(tp, tp + fp), 9).alias("precision"), F.round(_ratio(tp, tp + fn), 9).alias("recall"), F.round(_ratio(2 * tp, 2 * tp + fp + fn), 9).alias("f1"))
 
 
-def threshold_sweep(pairs: DataFrame, left: DataFrame, right: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+def threshold_sweep(pairs: DataFrame, left: DataFrame | int, right: DataFrame | None = None, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """(threshold, tp, fp, tn, fn) of similarity >= threshold; pairs have entity_a, entity_b, sim, and equal ids are true.
 
-    All pairs of ``left`` and ``right`` count; their number is a row of its own, counted when the sweep runs.
+    All pairs of ``left`` and ``right`` count; their number is a row of its own, counted when the sweep runs,
+    unless ``left`` is that number.
 
     True pairs below a threshold count as missed only if they are among ``pairs``.
     """
@@ -36,8 +37,10 @@ def threshold_sweep(pairs: DataFrame, left: DataFrame, right: DataFrame, thresho
     tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
     out = long.groupBy("threshold").agg(tally(hit & F.col("match")).alias("tp"), tally(hit & ~F.col("match")).alias("fp"), tally(~hit & F.col("match")).alias("fn"))
     size = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
-    total = size(left, "_left").crossJoin(size(right, "_right"))
-    return out.crossJoin(F.broadcast(total)).select("threshold", "tp", "fp", (F.col("_left") * F.col("_right") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), "fn")
+    known = right is None
+    all_of = F.lit(left).cast("long") if known else F.col("_left") * F.col("_right")
+    out = out if known else out.crossJoin(F.broadcast(size(left, "_left").crossJoin(size(right, "_right"))))
+    return out.select("threshold", "tp", "fp", (all_of - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), "fn")
 
 
 def precision_recall(sweep: DataFrame) -> DataFrame:

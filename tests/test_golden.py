@@ -160,3 +160,33 @@ def test_noise_is_drawn_for_batches_on_all_cores(spark, name):
     plan = planned(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "ArrowEvalPython" in plan and "response" not in plan and "replace" not in plan
     assert "hashpartitioning(c_custkey" in plan
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_distances_of_all_pairs(spark, blocks):
+    """Against all pairs one by one: tiles, equal records, an estimate of the Hamming distance alone and one of more."""
+    rng, m = np.random.default_rng(5), 70
+    value = rng.integers(0, 6, 1100).astype(float)
+    bits = rng.random((1100, m)) < 0.02 + value[:, None] / 10
+    bits[:200] = bits[200:400] & (value[:200] == value[200:400])[:, None]
+    bits[:200][value[:200] != value[200:400]] = False
+    df = spark.createDataFrame([(float(v), [int(p) for p in np.flatnonzero(b)], float(b.sum())) for v, b in zip(value, bits, strict=True)], "value double, bits array<int>, x double")
+    h = (bits[:, None, :] != bits[None, :, :]).sum(axis=2).astype(float)
+    ones, pairs = bits.sum(axis=1).astype(float), np.triu(np.ones((1100, 1100), dtype=bool), 1)
+    true = np.abs(value[:, None] - value[None, :])
+    for x, estimate in ((None, lambda h, a, b: h * 3 - 1), ("x", lambda h, a, b: h / 7 - np.maximum(a, b))):
+        est = estimate(h, ones[:, None], ones[None, :])
+        got = numeric.distances(df, "value", "bits", m, estimate, (2.0, 20.0), x, blocks)
+        got = got.groupBy("true_dis").agg(F.sum("n"), F.min("least"), F.max("most"), F.sum(F.get("within", 0)), F.sum(F.get("within", 1)))
+        want = {}
+        for d in np.unique(true[pairs]):
+            e = est[pairs & (true == d)]
+            want[d] = (len(e), e.min(), e.max(), (e <= 2).sum(), (e <= 20).sum())
+        assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["est_distance_dprl", "est_distance_v1", "est_distance_v2", "est_distance_v3", "est_distance_ue", "prf_distance", "prf_distance_v3", "distance_grid", "store_prf"])
+def test_noisy_distances_come_from_tiles(spark, name):
+    """One joined row for each pair of vectors took too long."""
+    plan = planned(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "FlatMapGroupsInArrow" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
