@@ -16,26 +16,33 @@ from pyspark.sql import functions as F
 from lumenlink.functions import bits as B
 from lumenlink.functions import coins as C
 from lumenlink.functions.jrandom import JavaRandom, pair_draws
-from lumenlink.operators.encoders import permuted
 
 SEED = "coins"
 
 
 def balance(bits: Column, n: int, seed: int = 42) -> Column:
     """Each bit and its complement, in 2 n bits, permuted; n of them are set."""
-    unset = lambda b: B.let(B.word_array(b, n), lambda w: B.chosen(n, lambda p: ~B.has(w, p)))
-    both = B.let(bits, lambda b: F.concat(b, F.transform(unset(b), lambda p: p + n)))
-    return permuted(both, JavaRandom(seed).permutation(2 * n))
+    order = np.array(JavaRandom(seed).permutation(2 * n))
+    return C.mapped(bits, n, lambda was: np.hstack([was, ~was])[:, order])
 
 
 def xor_fold(bits: Column, n: int) -> Column:
     """The two halves' exclusive or, n / 2 bits."""
-    return B.odd(F.transform(bits, lambda p: p % (n // 2)))
+    half = n // 2
+
+    def fold(was):
+        out = np.zeros((len(was), half), dtype=bool)
+        for at in range(0, n if half else 0, half or 1):
+            part = was[:, at : at + half]
+            out[:, : part.shape[1]] ^= part
+        return out
+
+    return C.mapped(bits, n, fold)
 
 
 def rule90(bits: Column, n: int) -> Column:
     """Each bit becomes the exclusive or of its two neighbours, in a circle."""
-    return B.odd(F.concat(F.transform(bits, lambda p: (p + 1) % n), F.transform(bits, lambda p: (p + n - 1) % n)))
+    return C.mapped(bits, n, lambda was: np.roll(was, 1, axis=1) ^ np.roll(was, -1, axis=1))
 
 
 def wxor(bits: Column, n: int) -> Column:

@@ -30,23 +30,27 @@ def threshold_sweep(pairs: DataFrame, left: DataFrame | int, right: DataFrame |
     True pairs below a threshold count as missed only if they are among ``pairs``.
     """
     match = F.col("entity_a") == F.col("entity_b")
-    steps = F.explode(F.array(*(F.lit(t) for t in thresholds)))
     at = pairs.select(match.alias("match"), "sim").groupBy("match", "sim").agg(F.count(F.lit(1)).alias("n"))
-    long = at.withColumn("threshold", steps)
+    return counted_sweep(at, left, right, thresholds)
+
+
+def counted_sweep(at: DataFrame, left: DataFrame | int, right: DataFrame | None = None, thresholds: list[float] = THRESHOLDS, by: tuple[str, ...] = ()) -> DataFrame:
+    """As threshold_sweep, of (match, sim, n), n pairs each, for each value of ``by``."""
+    long = at.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in thresholds))))
     hit = F.col("sim") >= F.col("threshold")
     tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
-    out = long.groupBy("threshold").agg(tally(hit & F.col("match")).alias("tp"), tally(hit & ~F.col("match")).alias("fp"), tally(~hit & F.col("match")).alias("fn"))
+    out = long.groupBy(*by, "threshold").agg(tally(hit & F.col("match")).alias("tp"), tally(hit & ~F.col("match")).alias("fp"), tally(~hit & F.col("match")).alias("fn"))
     size = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
     known = right is None
     all_of = F.lit(left).cast("long") if known else F.col("_left") * F.col("_right")
     out = out if known else out.crossJoin(F.broadcast(size(left, "_left").crossJoin(size(right, "_right"))))
-    return out.select("threshold", "tp", "fp", (all_of - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), "fn")
+    return out.select(*by, "threshold", "tp", "fp", (all_of - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), "fn")
 
 
 def precision_recall(sweep: DataFrame) -> DataFrame:
     """Precision and recall to four places, 0 where undefined."""
     part = lambda a, b: F.round(F.coalesce(_ratio(F.col(a), F.col(a) + F.col(b)), F.lit(0.0)), 4)
-    return sweep.select("threshold", part("tp", "fp").alias("precision"), part("tp", "fn").alias("recall"))
+    return sweep.select(*(c for c in sweep.columns if c not in ("tp", "fp", "tn", "fn")), part("tp", "fp").alias("precision"), part("tp", "fn").alias("recall"))
 
 
 def duplicate_grams(grams: Column) -> tuple[Column, Column]:

@@ -190,3 +190,34 @@ def test_noisy_distances_come_from_tiles(spark, name):
     """One joined row for each pair of vectors took too long."""
     plan = planned(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "FlatMapGroupsInArrow" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def filters(spark, seed, count, n):
+    rng = np.random.default_rng(seed)
+    base = rng.random((12, n)) < 0.3
+    rows = [(str(k), [int(p) for p in np.flatnonzero(base[k % 12] & (rng.random(n) < 0.8))] if k else [], f"k{k % 5 if k % 7 else 0}") for k in range(count)]
+    return spark.createDataFrame(rows, "entity_id string, bits array<int>, key string")
+
+
+def test_links_by_tiles_are_those_of_the_blocks(spark):
+    a, b = filters(spark, 1, 90, 100), filters(spark, 2, 70, 100)
+    keys = lambda t: blocking.blocks(t, blocking.hlsh_segment_keys(F.col("bits"), 100, 20))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(linkage.link_bits(a, b, keys(a), keys(b), "bits", 100, 0.5))
+    assert want and rows(linkage.link_far(a, b, keys(a), keys(b), "bits", 100, 0.5)) == want
+
+
+@pytest.mark.parametrize("most", [7, 4096])
+def test_tallies_of_blocks_are_those_of_the_pairs(spark, most):
+    a, b = filters(spark, 1, 90, 100), filters(spark, 2, 70, 100)
+    keys = lambda t: blocking.blocks(t, F.array("key"))
+    want = sorted(map(tuple, metrics.threshold_sweep(linkage.link_bits(a, b, keys(a), keys(b), "bits", 100, 0.5), a, b).collect()))
+    at = linkage.tallies(a, b, "key", {"x": ("bits", 100)}, 0.5, metrics.THRESHOLDS, most)
+    assert sorted(map(tuple, metrics.counted_sweep(at, a, b, by=("config",)).drop("config").collect())) == want
+
+
+@pytest.mark.parametrize("name", ["link_bf_hlsh", "link_bf_hlsh_segment", "private_sweep", "private_grid"])
+def test_filters_meet_in_tiles(spark, name):
+    """Blocks that hold a large part of all records gave a row for each pair before the filters were compared."""
+    plan = planned(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "FlatMapGroupsInArrow" in plan
