@@ -4,6 +4,7 @@ import hmac
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,37 @@ def test_distances_of_all_pairs(spark, blocks):
         assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("m,noise", [(300, 0.1), (600, 0.5), (4300, 0.5), (9000, 0.5)])
+def test_distances_by_flips_are_those_of_the_pairs(spark, m, noise):
+    """Three counts in a float, two, one; bounds that need no product; an empty block; columns that do not fill a float."""
+    rng = np.random.default_rng(7)
+    value = np.repeat([1.0, 2.0, 9.0], [50, 61, 37])
+    bits = (np.arange(m) < value[:, None] * m / 10) ^ (rng.random((len(value), m)) < noise)
+    ones, pairs = bits.sum(axis=1).astype(float), np.triu(np.ones((len(value),) * 2, dtype=bool), 1)
+    h, true = (ones[:, None] + ones - 2 * (bits.astype(np.float32) @ bits.T.astype(np.float32))).astype(float), np.abs(value[:, None] - value)
+    df = spark.createDataFrame([(float(v), [int(p) for p in np.flatnonzero(b)], float(b.sum())) for v, b in zip(value, bits, strict=True)], "value double, bits array<int>, x double")
+    limits = (m * 0.18, m * 0.5, m * 0.66)
+    for x, estimate in ((None, lambda h, a, b: h / 1.1), ("x", lambda h, a, b: h / 1.1 - np.maximum(a, b) / 7)):
+        est = estimate(h, ones[:, None], ones[None, :])
+        for ends in (True, False):
+            got = numeric.distances(df, "value", "bits", m, estimate, limits, x, 2, 2, ends, True)
+            got = got.groupBy("true_dis").agg(F.sum("n"), F.min("least"), F.max("most"), *(F.sum(F.get("within", k)) for k in range(3)))
+            want = {}
+            for d in np.unique(true[pairs]):
+                e = est[pairs & (true == d)]
+                want[d] = (len(e), *((e.min(), e.max()) if ends else (None, None)), *((e <= t).sum() for t in limits))
+            assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_records_of_two_values_meet_by_their_flips(spark):
+    """Products of whole vectors, one pair in a float, took too long."""
+    rng = np.random.default_rng(3)
+    side = lambda v: numeric._Side(pa.table({"_value": np.full(40, v), "_n": np.ones(40), "_vector": [rng.bytes(16) for _ in range(40)]}), 128)
+    a, b = side(1.0), side(2.0)
+    met = a.flips(a.parts[0]).flipped_in(numeric._Right(b, b.parts[0]), None, 3)
+    assert met.dtype == np.uint8 and met.shape == (40, 4 * 14)
+
+
 @pytest.mark.parametrize("name", ["est_distance_dprl", "est_distance_v1", "est_distance_v2", "est_distance_v3", "est_distance_ue", "prf_distance", "prf_distance_v3", "distance_grid", "store_prf"])
 def test_noisy_distances_come_from_tiles(spark, name):
     """One joined row for each pair of vectors took too long."""
